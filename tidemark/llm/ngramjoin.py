@@ -6,10 +6,10 @@ of ``N`` words (of fewer words: the one run of all). Band and row counts follow
 
 Within a band's bucket no list of all pairs is made. Each member is verified against the bucket's leader (its least
 set); verified links give components. What can still hide a link are members of one bucket in different components:
-only those meet in a second join, less the pairs that the size filter or the triangle inequality of Jaccard distance to
-the leader rules out, and they are verified too. So every pair that shares a bucket and reaches the threshold ends in one
-class, while rows grow with members, not with pairs. Hot buckets are split by adaptive execution (plain equi-joins) and
-pre-aggregated for the leader.
+such members are gathered by leader, cut into blocks of at most ``BLOCK``, and each pair of blocks is compared in one
+task, which counts shared n-grams by a matrix product and returns only links that join components. So every pair that
+shares a bucket and reaches the threshold ends in one class, while no join or task makes a row per pair. Hot buckets are
+split by adaptive execution (plain equi-joins) and pre-aggregated for the leader.
 
 Result: per row doc_id, class_id (least doc_id of the class), set_size (rows with an equal set) and n_links: the links
 that tie the row's set to others in its class (verified pairs; pairs inside a class that are tied already are not listed
@@ -35,6 +35,8 @@ from tidemark.llm.common import cut, remove
 from tidemark.llm.components import components
 
 N, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.998, 128
+#: Members of a leader that one side of a comparison holds.
+BLOCK = 768
 _WORD = re.compile(r"\w+")
 
 
@@ -140,6 +142,80 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int = N) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, sim double")
 
 
+def links_between(sets: list[np.ndarray], roots: list[int], threshold: float, sides: list[int] | None = None) -> list[tuple[int, int]]:
+    """Pairs of places whose sets reach the threshold and which join different components; ``sides``: only across sides."""
+    top: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while top.get(k, k) != k:
+            top[k] = top.get(top[k], top[k])
+            k = top[k]
+        return k
+
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    values, where = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)
+    often = np.bincount(where, minlength=len(values)) > 1
+    column = np.cumsum(often) - 1
+    keep = often[where]
+    owner, column = owner[keep], column[where[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((n, n), np.float32)
+    width = max(64, (1 << 22) // max(n, 1))
+    for first in range(0, int(often.sum()), width):
+        lo, hi = np.searchsorted(column, (first, first + width))
+        grid = np.zeros((n, width), np.float32)
+        grid[owner[lo:hi], column[lo:hi] - first] = 1
+        shared += grid @ grid.T
+    union = sizes[:, None] + sizes[None, :] - shared
+    hit = np.triu(shared >= threshold * union - 1e-6, 1)
+    if sides is not None:
+        hit &= np.array(sides)[:, None] != np.array(sides)[None, :]
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(hit))):
+        a, b = find(roots[i]), find(roots[j])
+        if a != b:
+            top[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
+
+
+def compare(rest: DataFrame, df: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): links between different roots among the members of a leader; rest: lead, id, root.
+
+    Leaders with at most ``BLOCK`` members share tasks of about that many; others are cut into blocks, and each pair of
+    blocks is a task of its own."""
+    sizes = rest.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    bins = max(1, rest.count() // BLOCK)
+    ids = rest.select("id").distinct()
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id"])
+    dealt = rest.join(sizes, "lead").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    tasks = dealt.select("lead", "id", "root", "block", "blocks", other).select(
+        "lead", "id", "root", "block",
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("lead"), F.lit(bins))).otherwise(F.col("lead")).alias("k"),
+        F.when(F.col("blocks") == 1, -1).otherwise(F.least("block", "other")).alias("x"), F.greatest("block", "other").alias("y"),
+    )
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        x, y = key[1].as_py(), key[2].as_py()
+        by: dict[int, list] = {}
+        for lead, i, root, block, text in zip(*(table.column(c).to_pylist() for c in ("lead", "id", "root", "block", "text"))):
+            by.setdefault(lead, []).append((i, root, block, text))
+        a, b = [], []
+        for rows in by.values():
+            if len({r[1] for r in rows}) < 2:
+                continue
+            rows.sort(key=lambda r: r[0])
+            for i, j in links_between([shingles(r[3], n) for r in rows], [r[1] for r in rows], threshold, [r[2] for r in rows] if x >= 0 and x != y else None):
+                a.append(rows[i][0])
+                b.append(rows[j][0])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return tasks.join(texts, "id").groupBy("k", "x", "y").applyInArrow(run, "a long, b long").distinct()
+
+
 def _texts(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id and text of the sets in pairs; a set's text is that of a row with its least doc_id."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -166,26 +242,14 @@ def classes(df: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: flo
     # members of one bucket that are not in one component yet
     placed = buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    rest = placed.join(split, "band").join(sound.select(F.col("a").alias("lead"), F.col("b").alias("id"), "sim"), ["lead", "id"], "left")
-    rest = rest.select("band", "id", "size", "root", "lead", F.when(F.col("id") == F.col("lead"), F.lit(0.0)).otherwise(1 - F.col("sim")).alias("far"))
-    rest = cut(rest, "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    on = (
-        (F.col("x.band") == F.col("y.band"))
-        & (F.col("x.id") < F.col("y.id"))
-        & (F.col("x.root") != F.col("y.root"))
-        & (F.col("x.id") != F.col("x.lead"))
-        & alike("x.size", "y.size")
-        & F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - threshold + 1e-9, F.lit(True))
-    )
-    more = cut(x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "residual")
-    found = cut(verify(more, _texts(df, more, id_col, text_col), n).where(F.col("sim") >= threshold - 1e-9).select("a", "b"), "residual-verified")
+    rest = cut(placed.join(split, "band").select("lead", "id", "root").distinct(), "rest")
+    found = cut(compare(rest, df, n, threshold, id_col, text_col), "residual")
     links = ties.union(found).distinct()
     final = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     label = sets.select("key", "id", "rows").join(final.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
     label = label.select("key", F.coalesce("root", "id").alias("class_id"), F.col("rows").alias("set_size"), (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
-    for used in (buckets, star, more):
+    for used in (buckets, star, rest):
         remove(spark, used)
     # rows without words have no set; a key of their own spreads them over the join
     own = F.coalesce("key", F.unhex(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))

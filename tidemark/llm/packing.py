@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, END, GROUP = 2048, 1, 400
-CACHE = 150_000
+#: Entries of a worker's caches (two of about 150 bytes an entry).
+CACHE = 350_000
 SCHEMA = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -73,12 +74,30 @@ class Chunks:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of chunks and words. Plain words, one pre-token each, go through the tokenizer as one text, which is cut
+        where ids end a word; if their number doesn't agree, each goes by itself."""
+        plain = [w for w in words if w.isalnum() and (w.isalpha() or len(w) == 1)]
+        out: dict[str, bytes] = {}
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) == len(plain) and ends[-1] == len(ids):
+                raw = ids.tobytes()
+                out = {w: raw[4 * a : 4 * b] for w, a, b in zip(plain, [0, *ends], ends)}
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self._raw(rest)))
+        return [out[w] for w in words]
+
     def _parts(self, chunk: str) -> list[str]:
         """Parts that the tokenizer certainly handles apart; a chunk that may be special stays whole."""
         if chunk.isascii() and "'" not in chunk and "<" not in chunk:
@@ -93,7 +112,7 @@ class Chunks:
         if len(self.words) + len(words) > CACHE:
             self.words = {}
         todo = [w for w in words if w not in self.words]
-        self.words.update(zip(todo, self._raw(todo)))
+        self.words.update(zip(todo, self._words(todo)))
         get = self.words.__getitem__
         self.chunks.update((c, b"".join(map(get, parts))) for c, parts in cut.items())
 
@@ -107,7 +126,7 @@ class Chunks:
             pass
         if len(self.chunks) > CACHE:
             self.chunks = {}
-        self._learn(set(parts) - self.chunks.keys())
+        self._learn({p for p in parts if p not in self.chunks})
         return b"".join(map(self.chunks.__getitem__, parts))
 
 

@@ -207,15 +207,14 @@ class Unigram:
                     runs.append(None)
                 runs += _SEGMENT.findall((MARK if not k else "") + part.replace(" ", MARK))
             cut.append(runs)
-        new = {s for runs in cut for s in runs if s is not None} - self.cache.keys()
+        new = {s for runs in cut for s in runs if s not in self.cache} - {None}
         if new:
             if len(self.cache) + len(new) > CACHE:
                 self.cache = {}
                 new = {s for runs in cut for s in runs if s is not None}
             self.learn(new)
-        get = {None: self.mark}
-        get = self.cache | get if any(None in r for r in cut) else self.cache
-        return [b"".join(map(get.__getitem__, runs)) for runs in cut]
+        get = self.cache.__getitem__
+        return [b"".join(map(get, runs)) if None not in runs else b"".join(self.mark if s is None else get(s) for s in runs) for runs in cut]
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, marks as spaces, without the dummy prefix; bytes that aren't UTF-8 become U+FFFD."""
