@@ -1,6 +1,484 @@
-def queries():
-    return {}
+"""Queries over the test tables, each with the SQL that states the same result.
 
+Operation logs: E (events: key user_id, sequence event_id, errors are tombstones), L (lineitem: key (order, line), versions
+ranked by all other columns), O (orders: a clean base run). Runs of E stand for files: file = event_id div 1000.
+"""
 
-def oracle_sql():
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from tidemark.functions.keys import be64_key, bracketed_number, dec_key
+from tidemark.operators import ranges, shards
+from tidemark.operators.collapse import as_of, collapse, collapse_window, dropped, history, merge_runs, newest, retained, without_tombstones
+from tidemark.operators.scan import View
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+SNAP, OLD = 5000, 6000
+
+
+def query(sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select(F.col("user_id").alias("k"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", 0).otherwise(1).cast("tinyint").alias("kind"), "event_type", "value")
+
+
+def orders(spark: SparkSession, d: str) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").alias("seq"), F.lit(1).cast("tinyint").alias("kind"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+
+
+def view(spark: SparkSession, d: str, snapshot: int | None = None) -> View:
+    return View(events(spark, d), "k", snapshot)
+
+
+def ranked(df: DataFrame, desc: bool = False) -> DataFrame:
+    """Visible rows and their place in key order: places inside key buckets, shifted by the buckets' counts."""
+    bucket = df.withColumn("__b", F.floor(F.col("k") / 4096))
+    counts = bucket.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__b", (F.sum("__n").over(W.orderBy(F.col("__b").desc() if desc else F.col("__b"))) - F.col("__n")).alias("__s"))
+    place = F.row_number().over(W.partitionBy("__b").orderBy(F.col("k").desc() if desc else F.col("k")))
+    return bucket.withColumn("__r", place).join(before, "__b").withColumn("rn", (F.col("__r") + F.col("__s")).cast("long")).drop("__b", "__r", "__s")
+
+
+def out(df: DataFrame) -> DataFrame:
+    return df.select("k", "seq", "event_type", "value")
+
+
+E = "e AS (SELECT user_id AS k, event_id AS seq, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS kind, event_type, value FROM events)"
+
+
+def vis(where: str = "", name: str = "v") -> str:
+    return f"{E}, {name} AS (SELECT k, seq, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM e {where}) WHERE rn = 1 AND kind = 1)"
+
+
+# ---- A: point reads
+
+
+@query(f"WITH {vis()} SELECT * FROM v WHERE k = 42")
+def get_latest(s, d):
+    return out(view(s, d).get(42))
+
+
+@query(f"WITH {vis(f'WHERE seq <= {SNAP}')} SELECT * FROM v WHERE k = 17")
+def get_as_of(s, d):
+    return out(view(s, d, SNAP).get(17))
+
+
+@query(f"WITH {vis()} SELECT count(*)::BIGINT AS found FROM v WHERE k = -1")
+def get_missing(s, d):
+    return view(s, d).get(-1).agg(F.count(F.lit(1)).alias("found"))
+
+
+@query(f"WITH {E} SELECT k, max(seq) AS deleted_at FROM e WHERE k % 3 = 0 GROUP BY k HAVING arg_max(kind, seq) = 0")
+def get_deleted(s, d):
+    rows = newest(events(s, d).where(F.col("k") % 3 == 0), "k")
+    return rows.where("kind = 0").select("k", F.col("seq").alias("deleted_at"))
+
+
+@query(f"WITH {vis()} SELECT * FROM v WHERE k IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+def multi_get(s, d):
+    keys = s.read.parquet(f"{d}/customer.parquet").where("c_acctbal > 5000").select(F.col("c_custkey").alias("k"))
+    return out(view(s, d).multi_get(keys))
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM orders), p AS (SELECT (i * 7919) % greatest(n // 100, 1) AS k FROM n, range(0, 1000) t(i)) SELECT count(*)::BIGINT AS lookups, count(o_orderkey)::BIGINT AS found FROM p LEFT JOIN orders ON k = o_orderkey")
+def read_hot(s, d):
+    o = View(orders(s, d), "k")
+    n = max(o.oplog.count() // 100, 1)
+    probes = s.range(1000).select(F.pmod(F.col("id") * 7919, F.lit(n)).alias("k"))
+    hits = o.multi_get(probes).select("k", F.lit(1).alias("hit"))
+    return probes.join(hits, "k", "left").agg(F.count(F.lit(1)).alias("lookups"), F.count("hit").alias("found"))
+
+
+@query("SELECT 1000::BIGINT AS lookups, count(*)::BIGINT AS found FROM range(0, 1000) t(i) JOIN orders ON o_orderkey = -1 - i")
+def read_missing(s, d):
+    probes = s.range(1000).select((-1 - F.col("id")).alias("k"))
+    hits = View(orders(s, d), "k").multi_get(probes)
+    return hits.agg(F.lit(1000).cast("long").alias("lookups"), F.count(F.lit(1)).alias("found"))
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM orders), p AS (SELECT (i * 104729) % n AS k FROM n, range(0, 2000) t(i)) SELECT k, count(*)::BIGINT AS reads, any_value(o_totalprice) AS price FROM p JOIN orders ON k = o_orderkey GROUP BY k")
+def read_random(s, d):
+    o = orders(s, d)
+    n = o.count()
+    probes = s.range(2000).select(F.pmod(F.col("id") * 104729, F.lit(n)).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("reads"))
+    return View(o, "k").multi_get(probes).join(probes, "k").select("k", "reads", "price")
+
+
+# ---- B: scans
+
+
+@query(f"WITH {vis()} SELECT *, row_number() OVER (ORDER BY k) AS rn FROM v")
+def scan_all(s, d):
+    return ranked(out(view(s, d).rows()))
+
+
+@query(f"WITH {vis()} SELECT *, row_number() OVER (ORDER BY k DESC) AS rn FROM v")
+def scan_reverse(s, d):
+    return ranked(out(view(s, d).rows()), desc=True)
+
+
+@query(f"WITH {vis()} SELECT * FROM v WHERE k >= 20 AND k < 60")
+def scan_range_half_open(s, d):
+    return out(view(s, d).between(20, 60))
+
+
+@query(f"WITH {vis()} SELECT * FROM v WHERE k BETWEEN 20 AND 60")
+def scan_range_inclusive(s, d):
+    return out(view(s, d).between(20, 60, inclusive=True))
+
+
+@query("SELECT lpad(CAST(o_orderkey AS VARCHAR), 20, '0') AS k, o_totalprice AS price FROM orders WHERE lpad(CAST(o_orderkey AS VARCHAR), 20, '0') LIKE '000000000000000001%'")
+def scan_prefix(s, d):
+    o = orders(s, d).withColumn("k", dec_key(F.col("k")))
+    return View(o, "k").rows(F.col("k").startswith("000000000000000001")).select("k", "price")
+
+
+@query(f"WITH {vis()} SELECT * FROM v ORDER BY k LIMIT 10")
+def scan_first_n(s, d):
+    return out(view(s, d).first(10))
+
+
+@query(f"WITH {vis()} SELECT * FROM v ORDER BY k DESC LIMIT 10")
+def scan_last_n(s, d):
+    return out(view(s, d).last(10))
+
+
+@query(f"WITH {vis(f'WHERE seq <= {SNAP}')} SELECT count(*)::BIGINT AS live FROM v")
+def count_live(s, d):
+    return view(s, d, SNAP).rows().agg(F.count(F.lit(1)).alias("live"))
+
+
+# ---- C: seeks
+
+
+@query(f"WITH {vis()} SELECT * FROM v WHERE k >= 77 ORDER BY k LIMIT 1")
+def seek_lower_bound(s, d):
+    return out(view(s, d).seek(77))
+
+
+_SEEKS = "SELECT t.target, min(v.k) AS found FROM t LEFT JOIN v ON v.k >= t.target GROUP BY t.target"
+
+
+@query(f"WITH {vis()}, t AS (SELECT DISTINCT (i * 7919) % 200 AS target FROM range(0, 150) r(i)) {_SEEKS}")
+def seek_random(s, d):
+    return view(s, d).seek_many(s.range(150).select(F.pmod(F.col("id") * 7919, F.lit(200)).alias("target")).distinct())
+
+
+@query(f"WITH {vis()}, t AS (SELECT i AS target FROM range(0, 150) r(i)) {_SEEKS}")
+def seek_ordered(s, d):
+    return view(s, d).seek_many(s.range(150).select(F.col("id").alias("target")))
+
+
+@query(f"WITH {vis()} SELECT * FROM v WHERE k > 42 ORDER BY k LIMIT 1")
+def next_key(s, d):
+    return out(view(s, d).next(42))
+
+
+@query(f"WITH {vis()} SELECT * FROM v WHERE k < 42 ORDER BY k DESC LIMIT 1")
+def prev_key(s, d):
+    return out(view(s, d).prev(42))
+
+
+@query(f"WITH {vis()}, dead AS (SELECT k FROM e GROUP BY k HAVING arg_max(kind, seq) = 0), t AS (SELECT k AS target FROM dead) {_SEEKS}")
+def seek_skips_tombstone(s, d):
+    dead = newest(events(s, d), "k").where("kind = 0").select(F.col("k").alias("target"))
+    return view(s, d).seek_many(dead)
+
+
+# ---- D: versions
+
+
+@query(f"WITH {E} SELECT k, seq, kind::INT AS kind, event_type, value, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS version FROM e")
+def history_all(s, d):
+    return history(events(s, d), "k").withColumn("kind", F.col("kind").cast("int"))
+
+
+@query(f"WITH {vis(f'WHERE seq <= {SNAP}')} SELECT * FROM v")
+def collapse_by_window(s, d):
+    return out(collapse_window(events(s, d), "k", SNAP))
+
+
+@query(f"WITH {vis(f'WHERE seq <= {SNAP}')} SELECT * FROM v")
+def collapse_by_maxby(s, d):
+    return out(collapse(events(s, d), "k", SNAP))
+
+
+_L = "ORDER BY l_shipdate DESC, l_extendedprice DESC, l_quantity DESC, l_partkey DESC, l_suppkey DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, versions FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS versions, row_number() OVER (PARTITION BY l_orderkey, l_linenumber {_L}) AS rn FROM lineitem) WHERE rn = 1")
+def overwrite_latest(s, d):
+    li = s.read.parquet(f"{d}/lineitem.parquet")
+    order = ["l_shipdate", "l_extendedprice", "l_quantity", "l_partkey", "l_suppkey", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    best = li.groupBy("l_orderkey", "l_linenumber").agg(F.max(F.struct(*order)).alias("x"), F.count(F.lit(1)).alias("versions"))
+    return best.select("l_orderkey", "l_linenumber", "x.l_partkey", "x.l_quantity", "x.l_extendedprice", "versions")
+
+
+@query(f"WITH {E} SELECT k, seq, kind::INT AS kind, (seq // 1000)::INT AS run, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rank_in_key FROM e WHERE seq < 4000")
+def merge_of_runs(s, d):
+    e = events(s, d)
+    runs = [e.where((F.col("seq") >= 1000 * i) & (F.col("seq") < 1000 * (i + 1))) for i in range(4)]
+    rank = F.row_number().over(W.partitionBy("k").orderBy(F.col("seq").desc(), F.col("kind").desc(), "run"))
+    return merge_runs(runs).select("k", "seq", F.col("kind").cast("int").alias("kind"), "run", rank.cast("long").alias("rank_in_key"))
+
+
+@query(f"WITH {vis('WHERE seq <= 2500', 'a')}, {vis('WHERE seq <= 7500', 'b')[len(E) + 2:]} SELECT coalesce(a.k, b.k) AS k, a.seq AS old_seq, b.seq AS new_seq FROM a FULL JOIN b ON a.k = b.k WHERE a.seq IS DISTINCT FROM b.seq")
+def snapshot_diff(s, d):
+    e = events(s, d)
+    a = collapse(e, "k", 2500).select("k", F.col("seq").alias("old_seq"))
+    b = collapse(e, "k", 7500).select("k", F.col("seq").alias("new_seq"))
+    return a.join(b, "k", "full").where(~F.col("old_seq").eqNullSafe(F.col("new_seq")))
+
+
+@query(f"WITH {vis('WHERE seq <= 2500', 'a')}, {vis('WHERE seq <= 7500', 'b')[len(E) + 2:]}, {vis('', 'c')[len(E) + 2:]} SELECT 2500::BIGINT AS snapshot, * FROM a UNION ALL SELECT 7500::BIGINT, * FROM b UNION ALL SELECT 1000000000::BIGINT, * FROM c")
+def snapshot_views(s, d):
+    e = events(s, d)
+    views = [out(collapse(e, "k", n)).withColumn("snapshot", F.lit(n).cast("long")) for n in (2500, 7500, 1_000_000_000)]
+    return views[0].unionByName(views[1]).unionByName(views[2])
+
+
+@query("WITH b AS (SELECT event_id % 50 AS k, event_id AS seq, CASE WHEN event_id % 7 = 3 THEN 0 ELSE 1 END AS kind FROM events WHERE event_id < 1000) SELECT k, max(seq) + 100 AS seq FROM b GROUP BY k HAVING arg_max(kind, seq) = 1")
+def batch_order(s, d):
+    e = s.read.parquet(f"{d}/events.parquet").where("event_id < 1000")
+    batch = e.select((F.col("event_id") % 50).alias("k"), (F.col("event_id") + 100).alias("seq"), F.when(F.col("event_id") % 7 == 3, 0).otherwise(1).alias("kind"))
+    return collapse(batch, "k").select("k", "seq")
+
+
+_GC = f"WITH {E}, n AS (SELECT *, lag(seq) OVER (PARTITION BY k ORDER BY seq DESC) AS newer FROM e)"
+
+
+@query(f"{_GC} SELECT k, seq, kind::INT AS kind FROM n WHERE newer IS NULL OR newer > {OLD}")
+def gc_retained(s, d):
+    return retained(events(s, d), "k", OLD).select("k", "seq", F.col("kind").cast("int").alias("kind"))
+
+
+@query(f"{_GC} SELECT k, count(*)::BIGINT AS versions, max(seq) AS newest FROM n WHERE newer <= {OLD} GROUP BY k")
+def gc_dropped(s, d):
+    return dropped(events(s, d), "k", OLD).groupBy("k").agg(F.count(F.lit(1)).alias("versions"), F.max("seq").alias("newest"))
+
+
+@query(f"{_GC} SELECT k, seq, kind::INT AS kind FROM n WHERE (newer IS NULL OR newer > {OLD}) AND NOT (kind = 0 AND seq <= {OLD})")
+def tombstone_elimination(s, d):
+    return without_tombstones(retained(events(s, d), "k", OLD), OLD).select("k", "seq", F.col("kind").cast("int").alias("kind"))
+
+
+@query(f"{_GC} SELECT k, seq, kind::INT AS kind FROM n WHERE (newer IS NULL OR newer > {OLD}) AND NOT (kind = 0 AND seq <= {OLD} AND NOT (k BETWEEN 0 AND 40 OR k BETWEEN 90 AND 110))")
+def tombstone_partial(s, d):
+    deeper = s.createDataFrame([(0, 40), (90, 110)], "smallest long, largest long")
+    return without_tombstones(retained(events(s, d), "k", OLD), OLD, deeper).select("k", "seq", F.col("kind").cast("int").alias("kind"))
+
+
+@query(f"WITH {E} SELECT (seq // 1000)::BIGINT AS run, k, max(seq) AS seq, arg_max(kind, seq)::INT AS kind FROM e GROUP BY ALL")
+def flush_newest(s, d):
+    e = events(s, d).withColumn("run", F.floor(F.col("seq") / 1000))
+    return newest(e, ["run", "k"]).select("run", "k", "seq", F.col("kind").cast("int").alias("kind"))
+
+
+@query(f"WITH {vis(f'WHERE seq <= {OLD}')} SELECT * FROM v")
+def compaction_keeps_views(s, d):
+    compacted = without_tombstones(retained(events(s, d), "k", OLD), OLD)
+    return out(collapse(as_of(compacted, OLD), "k"))
+
+
+# ---- E: layout
+
+
+def files(s: SparkSession, d: str) -> DataFrame:
+    """Runs of E as files: run r is a file of level r mod 3, its keys those of users in a moving window."""
+    e = events(s, d).withColumn("number", F.floor(F.col("seq") / 250)).where(F.col("k") >= F.col("number") % 10 * 12).where(F.col("k") < F.col("number") % 10 * 12 + 30)
+    grouped = e.groupBy("number").agg(F.min("k").alias("smallest"), F.max("k").alias("largest"), F.count(F.lit(1)).alias("num_entries"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"))
+    return grouped.select((F.col("number") % 3).cast("int").alias("level"), "number", (F.col("num_entries") * 100).alias("size"), "num_entries", "smallest", "largest", "min_seq", "max_seq")
+
+
+FILES = f"""{E}, f AS (SELECT ((seq // 250) % 3)::INT AS level, (seq // 250)::BIGINT AS number, count(*) * 100 AS size, count(*) AS num_entries, min(k) AS smallest, max(k) AS largest, min(seq) AS min_seq, max(seq) AS max_seq
+FROM e WHERE k >= (seq // 250) % 10 * 12 AND k < (seq // 250) % 10 * 12 + 30 GROUP BY ALL)"""
+
+
+@query(f"WITH {FILES} SELECT level, number, size::BIGINT AS size, num_entries::BIGINT AS num_entries, smallest, largest, min_seq, max_seq FROM f")
+def file_bounds(s, d):
+    return files(s, d)
+
+
+@query(f"WITH {FILES} SELECT number, smallest, largest FROM f WHERE level = 1 AND largest >= 55 ORDER BY largest, number LIMIT 1")
+def find_file(s, d):
+    return ranges.find_file(files(s, d).where("level = 1"), 55).select("number", "smallest", "largest")
+
+
+@query(f"WITH {FILES} SELECT level, number FROM f WHERE smallest <= 50 AND largest >= 45")
+def range_overlap(s, d):
+    return files(s, d).where(ranges.overlaps(45, 50)).select("level", "number")
+
+
+@query(f"""WITH RECURSIVE {FILES}, g AS (SELECT * FROM f WHERE level = 0),
+r(lo, hi, i) AS (SELECT 10::BIGINT, 14::BIGINT, 0 UNION ALL SELECT * FROM (SELECT (SELECT min(least(g.smallest, r.lo)) FROM g WHERE g.smallest <= r.hi AND g.largest >= r.lo), (SELECT max(greatest(g.largest, r.hi)) FROM g WHERE g.smallest <= r.hi AND g.largest >= r.lo), i + 1 FROM r WHERE i < 30) WHERE 1 = 1)
+SELECT number, smallest, largest FROM g WHERE smallest <= (SELECT max(hi) FROM r) AND largest >= (SELECT min(lo) FROM r)""")
+def overlap_closure(s, d):
+    return ranges.overlap_closure(files(s, d), 0, 10, 14).select("number", "smallest", "largest")
+
+
+@query(f"WITH {E}, r AS (SELECT i AS range_id, i * 20 AS lo, i * 20 + 20 AS hi FROM range(0, 10) t(i)) SELECT range_id, coalesce(sum(length(event_type) + 8), 0)::BIGINT AS bytes FROM r LEFT JOIN e ON k >= lo AND k < hi GROUP BY range_id")
+def approximate_sizes(s, d):
+    asked = s.range(10).select(F.col("id").alias("range_id"), (F.col("id") * 20).alias("start"), (F.col("id") * 20 + 20).alias("limit"))
+    return ranges.approximate_sizes(events(s, d).select("k", (F.length("event_type") + 8).alias("bytes")), asked)
+
+
+@query(f"WITH {FILES} SELECT level, count(*)::BIGINT AS files, sum(size)::BIGINT AS bytes FROM f GROUP BY level")
+def level_summary(s, d):
+    return ranges.levels(files(s, d))
+
+
+@query(f"WITH {FILES} SELECT level, round(CASE WHEN level = 0 THEN count(*) ELSE sum(size) / (10000 * 10 ** (level - 1)) END, 6)::DOUBLE AS score FROM f GROUP BY level")
+def level_score(s, d):
+    return ranges.scores(files(s, d), 10_000).select("level", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {FILES} SELECT a.level, a.number, coalesce(sum(b.size), 0)::BIGINT AS bytes FROM f a LEFT JOIN f b ON b.level = a.level + 1 AND b.smallest <= a.largest AND b.largest >= a.smallest WHERE a.level BETWEEN 1 AND 4 GROUP BY a.level, a.number")
+def next_level_overlap(s, d):
+    return ranges.next_level_overlap(files(s, d))
+
+
+@query(f"WITH {FILES} SELECT number FROM f a WHERE level = 0 AND NOT EXISTS (SELECT 1 FROM f b WHERE b.level = 1 AND b.smallest <= a.largest AND b.largest >= a.smallest)")
+def trivial_move(s, d):
+    return ranges.trivial_moves(files(s, d), 0).select("number")
+
+
+@query(f"WITH {FILES} SELECT level, min(smallest) AS smallest, max(largest) AS largest FROM f GROUP BY level")
+def level_bounds(s, d):
+    return ranges.bounds(files(s, d))
+
+
+# ---- F: shards
+
+
+@query("SELECT i AS shard_id, i * (n // 8) AS lower, CASE WHEN i = 7 THEN n ELSE (i + 1) * (n // 8) END AS upper FROM (SELECT count(*) AS n FROM orders), range(0, 8) t(i)")
+def shard_bounds(s, d):
+    return shards.bounds(s, 0, orders(s, d).count(), 8)
+
+
+@query("SELECT o_orderkey AS k, least(o_orderkey // (n // 8), 7)::BIGINT AS shard_id FROM orders, (SELECT count(*) AS n FROM orders)")
+def shard_route(s, d):
+    o = orders(s, d)
+    return o.select("k", shards.route(F.col("k"), 0, o.count(), 8).alias("shard_id"))
+
+
+@query("SELECT CASE WHEN o_orderkey < 1000 THEN 0 WHEN o_orderkey < 5000 THEN 1 END::BIGINT AS shard_id, count(*)::BIGINT AS rows, sum(CAST(o_totalprice * 100 AS BIGINT))::BIGINT AS cents FROM orders GROUP BY 1")
+def shard_balance(s, d):
+    table = s.createDataFrame([(0, 0, 1000), (1, 1000, 5000)], "shard_id long, lower long, upper long")
+    return shards.route_by(orders(s, d), "k", table).groupBy("shard_id").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.round(F.col("price") * 100).cast("long")).alias("cents"))
+
+
+@query("SELECT i AS shard_id, 2 * (i % 4) AS node FROM range(0, 16) t(i)")
+def shard_round_robin(s, d):
+    return s.range(16).select(F.col("id").alias("shard_id"), shards.round_robin(F.col("id"), 4).alias("node"))
+
+
+# ---- G: workloads
+
+
+@query("SELECT i AS k, i + 1 AS seq, repeat('v', (i % 7)::INT) AS v FROM range(0, 20000) t(i)")
+def fill_seq(s, d):
+    log = s.range(20_000).select(F.col("id").alias("k"), (F.col("id") + 1).alias("seq"), F.lit(1).alias("kind"), F.repeat(F.lit("v"), (F.col("id") % 7).cast("int")).alias("v"))
+    return collapse(log, "k").select("k", "seq", "v")
+
+
+@query("SELECT (i * 7919 + i // 3) % 5000 AS k, max(i) AS seq, count(*)::BIGINT AS writes FROM range(0, 20000) t(i) GROUP BY 1")
+def fill_random_overwrite(s, d):
+    log = s.range(20_000).select(((F.col("id") * 7919 + F.floor(F.col("id") / 3)) % 5000).alias("k"), F.col("id").alias("seq"), F.lit(1).alias("kind"))
+    counts = log.groupBy("k").agg(F.count(F.lit(1)).alias("writes"))
+    return collapse(log, "k").join(counts, "k").select("k", "seq", "writes")
+
+
+@query("SELECT o_orderkey AS k, o_totalprice AS price FROM orders WHERE o_orderkey >= 5000")
+def delete_seq(s, d):
+    o = orders(s, d).select("k", "seq", "kind", "price")
+    dead = s.range(5000).select(F.col("id").alias("k"), (F.col("id") + 1_000_000_000).alias("seq"), F.lit(0).cast("tinyint").alias("kind"), F.lit(None).cast("double").alias("price"))
+    return collapse(o.unionByName(dead), "k").select("k", "price")
+
+
+@query("SELECT o_orderkey AS k, o_totalprice AS price FROM orders WHERE o_orderkey NOT IN (SELECT (i * 7919) % 15000 FROM range(0, 3000) t(i))")
+def delete_random(s, d):
+    o = orders(s, d).select("k", "seq", "kind", "price")
+    dead = s.range(3000).select(F.pmod(F.col("id") * 7919, F.lit(15_000)).alias("k"), (F.col("id") + 1_000_000_000).alias("seq"), F.lit(0).cast("tinyint").alias("kind"), F.lit(None).cast("double").alias("price"))
+    return collapse(o.unionByName(dead), "k").select("k", "price")
+
+
+@query(f"WITH {E}, w AS (SELECT k, seq FROM e WHERE seq % 4 <> 0 AND kind = 1), r AS (SELECT k, seq AS at FROM e WHERE seq % 4 = 0) SELECT r.k, r.at, max(w.seq) AS seen FROM r LEFT JOIN w ON w.k = r.k AND w.seq < r.at GROUP BY r.k, r.at")
+def read_write_mix(s, d):
+    """Every fourth operation reads what the writes before it left: a running maximum in each key, no join."""
+    e = events(s, d)
+    wrote = F.max(F.when((F.col("seq") % 4 != 0) & (F.col("kind") == 1), F.col("seq"))).over(W.partitionBy("k").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
+    return e.withColumn("seen", wrote).where(F.col("seq") % 4 == 0).select("k", F.col("seq").alias("at"), "seen")
+
+
+@query(f"WITH {vis(f'WHERE seq <= {OLD}')}, late AS (SELECT count(*)::BIGINT AS n FROM e WHERE seq > {OLD}) SELECT v.k, v.seq, late.n AS later_writes FROM v, late")
+def read_while_writing(s, d):
+    """A pinned view beside the writes that came after it."""
+    e = events(s, d)
+    later = e.where(F.col("seq") > OLD).count()
+    return collapse(e, "k", OLD).select("k", "seq", F.lit(later).cast("long").alias("later_writes"))
+
+
+@query("SELECT floor(value / 25)::BIGINT AS bucket, count(*)::BIGINT AS n, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM events GROUP BY 1")
+def histogram_buckets(s, d):
+    e = s.read.parquet(f"{d}/events.parquet")
+    return e.groupBy(F.floor(F.col("value") / 25).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.min("value"), 6).alias("lo"), F.round(F.max("value"), 6).alias("hi"))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 4) AS median, round(quantile_cont(value, 0.99), 4) AS p99, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS stddev FROM events GROUP BY 1")
+def histogram_stats(s, d):
+    e = s.read.parquet(f"{d}/events.parquet")
+    return e.groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 4).alias("median"), F.round(F.percentile("value", 0.99), 4).alias("p99"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_pop("value"), 4).alias("stddev"))
+
+
+# ---- H: codecs
+
+
+@query("SELECT o_orderkey AS n, lpad(hex(o_orderkey), 16, '0') || repeat('30', 12) AS k FROM orders")
+def key_be64_order(s, d):
+    return orders(s, d).select(F.col("k").alias("n"), F.hex(be64_key(F.col("k"))).alias("k"))
+
+
+@query("SELECT o_orderkey AS n, lpad(CAST(o_orderkey AS VARCHAR), 20, '0') AS k FROM orders")
+def key_decimal_order(s, d):
+    return orders(s, d).select(F.col("k").alias("n"), dec_key(F.col("k")).alias("k"))
+
+
+@query("SELECT lpad(hex(n), 16, '0') AS nk, '[0x' || lower(hex(n)) || ']' AS newest, 2::BIGINT AS versions FROM (SELECT p_partkey AS n FROM part)")
+def comparator_normalised(s, d):
+    """Two spellings of a number are one key; the newest spelling is reported."""
+    p = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("n"))
+    a = p.select(F.encode(F.concat(F.lit("["), F.col("n").cast("string"), F.lit("]")), "UTF-8").alias("k"), F.lit(1).alias("seq"), F.lit(1).alias("kind"))
+    b = p.select(F.encode(F.concat(F.lit("[0x"), F.lower(F.hex("n")), F.lit("]")), "UTF-8").alias("k"), F.lit(2).alias("seq"), F.lit(1).alias("kind"))
+    log = a.union(b).withColumn("nk", bracketed_number(F.col("k")))
+    counts = log.groupBy("nk").agg(F.count(F.lit(1)).alias("versions"))
+    return collapse(log, "nk").join(counts, "nk").select(F.hex("nk").alias("nk"), F.decode("k", "UTF-8").alias("newest"), "versions")
+
+
+@query(f"WITH {E} SELECT lpad(hex(k), 16, '0') || ' @ ' || seq || ' : ' || CASE kind WHEN 1 THEN 'put' ELSE 'del' END || ' => ' || CASE kind WHEN 1 THEN event_type ELSE '' END AS line FROM e")
+def dump_format(s, d):
+    e = events(s, d)
+    return e.select(F.format_string("%s @ %d : %s => %s", F.lpad(F.hex("k"), 16, "0"), "seq", F.when(F.col("kind") == 1, "put").otherwise("del"), F.when(F.col("kind") == 1, F.col("event_type")).otherwise("")).alias("line"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
