@@ -51,6 +51,18 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def wanted(of: DataFrame, value: str, most: int = 1 << 20) -> Column:
+    """A map-side filter on the column ``value``: values in ``of`` always pass, others seldom while ``of`` is small against
+    ``most`` bits, which bounds the filter (it then passes more, and the join behind it does the work)."""
+    words = most // 64
+    bucket = F.xxhash64(value).bitwiseAND(F.lit(most - 1))
+    out = [0] * words
+    for w, m in of.select(bucket.alias("k")).groupBy(F.shiftright("k", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(k & 63 as int)))").alias("m")).collect():
+        out[w] = m
+    found = F.from_json(F.lit(str(out)), "array<bigint>")[F.shiftright(bucket, 6).cast("int")]
+    return found.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bucket.bitwiseAND(F.lit(63)).cast("int"))) != 0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

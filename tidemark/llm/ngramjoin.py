@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, remove
+from tidemark.llm.common import cut, remove, wanted
 from tidemark.llm.components import components
 
 N, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.998, 128
@@ -189,7 +189,7 @@ def compare(rest: DataFrame, df: DataFrame, n: int, threshold: float, id_col: st
     sizes = rest.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     bins = max(1, rest.count() // BLOCK)
     ids = rest.select("id").distinct()
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id"])
+    texts = _texts(df, ids, id_col, text_col).dropDuplicates(["id"])
     dealt = rest.join(sizes, "lead").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     tasks = dealt.select("lead", "id", "root", "block", "blocks", other).select(
@@ -216,10 +216,10 @@ def compare(rest: DataFrame, df: DataFrame, n: int, threshold: float, id_col: st
     return tasks.join(texts, "id").groupBy("k", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
-def _texts(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and text of the sets in pairs; a set's text is that of a row with its least doc_id."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
+def _texts(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and text of the documents in ``ids``; a map-side filter keeps most other texts out of the shuffle."""
+    own = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return own.where(wanted(ids, "id")).join(ids, "id", "left_semi")
 
 
 def classes(df: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,7 +236,7 @@ def classes(df: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: flo
     buckets = cut(members.join(lead, "band"), "buckets")
     alike = lambda x, y: (F.col(x) >= F.col(y) * F.lit(threshold) - 1e-9) & (F.col(y) >= F.col(x) * F.lit(threshold) - 1e-9)
     star = cut(buckets.where((F.col("id") != F.col("lead")) & alike("size", "lead_size")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "star")
-    sound = cut(verify(star, _texts(df, star, id_col, text_col), n), "star-verified")
+    sound = cut(verify(star, _texts(df, star.select(F.explode(F.array("a", "b")).alias("id")).distinct(), id_col, text_col), n), "star-verified")
     ties = sound.where(F.col("sim") >= threshold - 1e-9).select("a", "b")
     roots = components(ties)
     # members of one bucket that are not in one component yet
