@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 LENGTH, END, GROUP = 2048, 1, 400
 #: Entries of a worker's caches (two of about 150 bytes an entry).
-CACHE = 350_000
+CACHE = 900_000
 SCHEMA = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
