@@ -6,7 +6,7 @@ sequence with room, which a tournament tree over the sequences' free space finds
 one task holds one group, and a lost one is redone alone. Sequences of different groups never mix.
 
 The tokenizer lower-cases and never joins characters across white space, so a chunk between white space always gives
-the same ids; each worker keeps a bounded cache of them. Texts with U+001C to U+001F, which Python but not the tokenizer
+the same ids; each worker keeps a bounded cache of them and of the words in them. Texts with U+001C to U+001F, which Python but not the tokenizer
 counts as white space, go through the tokenizer whole.
 
 Defined results: null and empty texts are one piece that holds the end id; a text of any length is cut into whole
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, END, GROUP = 2048, 1, 400
-#: Entries of a worker's caches (two of about 150 bytes an entry).
-CACHE = 900_000
+#: Entries of a worker's cache, of about 150 bytes each.
+CACHE = 500_000
 SCHEMA = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -65,7 +65,7 @@ def first_fit_decreasing(sizes: list[int], room: int) -> list[tuple[int, int]]:
 
 
 class Chunks:
-    """Ids of texts as little-endian bytes, through a cache of white-space-separated chunks and of the words in them."""
+    """Ids of texts as little-endian bytes, through one cache of white-space-separated chunks and of the words in them."""
 
     ODD = re.compile("[\x1c-\x1f]")
     ASCII = re.compile("[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
@@ -77,8 +77,7 @@ class Chunks:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # chunks and words: the same string has the same ids as either
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -108,26 +107,25 @@ class Chunks:
 
     def _learn(self, new: set[str]) -> None:
         cut = {c: self._parts(c) for c in new}
-        words = {p for parts in cut.values() for p in parts}
-        if len(self.words) + len(words) > CACHE:
-            self.words = {}
-        todo = [w for w in words if w not in self.words]
-        self.words.update(zip(todo, self._words(todo)))
-        get = self.words.__getitem__
-        self.chunks.update((c, b"".join(map(get, parts))) for c, parts in cut.items())
+        todo = [w for w in {p for parts in cut.values() for p in parts} if w not in self.known]
+        self.known.update(zip(todo, self._words(todo)))
+        get = self.known.__getitem__
+        for c, parts in cut.items():
+            if c not in self.known:
+                self.known[c] = b"".join(map(get, parts))
 
     def encode(self, text: str) -> bytes:
         if self.ODD.search(text):
             return self._raw([text])[0]
         parts = text.split()
         try:
-            return b"".join(map(self.chunks.__getitem__, parts))
+            return b"".join(map(self.known.__getitem__, parts))
         except KeyError:
             pass
-        if len(self.chunks) > CACHE:
-            self.chunks = {}
-        self._learn({p for p in parts if p not in self.chunks})
-        return b"".join(map(self.chunks.__getitem__, parts))
+        if len(self.known) > CACHE:
+            self.known = {}
+        self._learn({p for p in parts if p not in self.known})
+        return b"".join(map(self.known.__getitem__, parts))
 
 
 _CHUNKS: dict[str, Chunks] = {}
