@@ -106,6 +106,29 @@ def test_ngram_hot_copies_and_chains(spark):
     assert [got[300 + i].class_id for i in range(40)] == [0 if want[i + 1] == 0 else 300 + want[i + 1] - 1 for i in range(40)]
 
 
+def linked(texts, t=ngramjoin.THRESHOLD):
+    """Per text the number of other texts that reach the threshold, by comparing all pairs."""
+    sets = [ngramjoin.shingles(x) for x in texts]
+    return [sum(i != j and ngramjoin.jaccard(a, b) >= t - 1e-9 for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+
+
+@pytest.mark.parametrize("block", [ngramjoin.BLOCK, 7])
+def test_ngram_links_against_brute(spark, monkeypatch, block):
+    monkeypatch.setattr(ngramjoin, "BLOCK", block)
+    r = random.Random(5)
+    texts = []
+    for size in (40, 25, 2, 1):
+        base = [f"w{r.randrange(4000)}" for _ in range(220)]
+        for i in range(size):
+            own = list(base)
+            own[5 + 5 * i] = f"new{i}"
+            texts += [" ".join(own)] * (3 if i % 10 == 0 else 1)
+    r.shuffle(texts)
+    got = {x.doc_id: x.n_links for x in ngramjoin.classes(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == linked(texts)
+    assert max(got.values()) > 40
+
+
 def test_ngram_awkward(frame, empty):
     got = {x.doc_id: x for x in ngramjoin.classes(frame).collect()}
     assert got[7].class_id == got[8].class_id == got[9].class_id == 7 and got[7].set_size == 4

@@ -4,16 +4,15 @@ A text's words are its lower-cased runs of letters, digits and underscores; its
 of ``N`` words (of fewer words: the one run of all). Band and row counts follow from the target recall at the threshold
 (``bands_for``). Texts with equal sets are one *set*, merged map-side before anything is shuffled on bands.
 
-Within a band's bucket no list of all pairs is made. Each member is verified against the bucket's leader (its least
-set); verified links give components. What can still hide a link are members of one bucket in different components:
-such members are gathered by leader, cut into blocks of at most ``BLOCK``, and each pair of blocks is compared in one
-task, which counts shared n-grams by a matrix product and returns only links that join components. So every pair that
-shares a bucket and reaches the threshold ends in one class, while no join or task makes a row per pair. Hot buckets are
-split by adaptive execution (plain equi-joins) and pre-aggregated for the leader.
+Within a band's bucket no list of all pairs is made. Buckets with the same leader (their least set) are one group, so sets
+that share a bucket share a group. A group is cut into blocks of at most about ``BLOCK`` members or ``GRAMS`` n-grams, and
+each pair of blocks is compared in one task, which counts shared n-grams by a matrix product. A pair that meets in several
+groups is counted in the one with the least leader only. A task returns each set's number of links and such links as join
+its components: rows in the order of its members, not of its pairs.
 
-Result: per row doc_id, class_id (least doc_id of the class), set_size (rows with an equal set) and n_links: the links
-that tie the row's set to others in its class (verified pairs; pairs inside a class that are tied already are not listed
-again) plus its other rows with an equal set.
+Result: per row doc_id, class_id (least doc_id of the class), set_size (rows with an equal set) and n_links: the number of
+other rows whose set reaches the threshold with its own, equal ones included, as far as the sets share a band (recall 0.998
+at the threshold, more above it).
 
 Defined results: null texts and texts without words are a class of their own each, without links; repeated rows are
 copies; a set's id is its least doc_id, so rows that share an id but not a text are not told apart in ids only. Extra
@@ -35,8 +34,8 @@ from tidemark.llm.common import cut, remove, wanted
 from tidemark.llm.components import components
 
 N, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.998, 128
-#: Members of a leader that one side of a comparison holds.
-BLOCK = 768
+#: Members of a leader, and their n-grams, that one side of a comparison holds.
+BLOCK, GRAMS = 768, 2_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -124,76 +123,74 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, n: int = N) -> DataFrame:
-    """(a, b, sim) of pairs (a, b) of set ids; texts: id, text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            sims = []
-            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if a != last:
-                    last, known = a, shingles(ta, n)
-                sims.append(jaccard(known, shingles(tb, n)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["a", "b", "sim"])
-
-    one = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
-    joined = pairs.select("a", "b").join(one("b"), "b").join(one("a"), "a").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(run, "a long, b long, sim double")
-
-
-def links_between(sets: list[np.ndarray], roots: list[int], threshold: float, sides: list[int] | None = None) -> list[tuple[int, int]]:
-    """Pairs of places whose sets reach the threshold and which join different components; ``sides``: only across sides."""
-    top: dict[int, int] = {}
-
-    def find(k: int) -> int:
-        while top.get(k, k) != k:
-            top[k] = top.get(top[k], top[k])
-            k = top[k]
-        return k
-
-    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """(place, place) -> number of values that two sets have in common."""
+    n = len(sets)
     values, where = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), sizes)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
     often = np.bincount(where, minlength=len(values)) > 1
     column = np.cumsum(often) - 1
     keep = often[where]
     owner, column = owner[keep], column[where[keep]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    shared = np.zeros((n, n), np.float32)
-    width = max(64, (1 << 22) // max(n, 1))
-    for first in range(0, int(often.sum()), width):
+    out, columns = np.zeros((n, n), np.float32), int(often.sum())
+    width = min(columns, max(64, (1 << 22) // max(n, 1)))
+    for first in range(0, columns, width or 1):
         lo, hi = np.searchsorted(column, (first, first + width))
         grid = np.zeros((n, width), np.float32)
         grid[owner[lo:hi], column[lo:hi] - first] = 1
-        shared += grid @ grid.T
-    union = sizes[:, None] + sizes[None, :] - shared
-    hit = np.triu(shared >= threshold * union - 1e-6, 1)
+        out += grid @ grid.T
+    return out
+
+
+def links_between(sets: list[np.ndarray], leads: list[np.ndarray], lead: int, threshold: float, sides: list[int] | None = None) -> np.ndarray:
+    """(place, place) -> whether two sets reach the threshold, above the diagonal, without pairs that meet in a group of a
+    lesser leader; ``sides``: only across sides."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    both = shared(sets)
+    hit = np.triu(both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-6, 1)
     if sides is not None:
         hit &= np.array(sides)[:, None] != np.array(sides)[None, :]
+    before = [x[x < lead] for x in leads]
+    if hit.any() and any(len(x) for x in before):
+        hit &= shared(before) == 0
+    return hit
+
+
+def spanning(hit: np.ndarray) -> list[tuple[int, int]]:
+    """Of the pairs in ``hit`` such as join its components."""
+    top = list(range(len(hit)))
+
+    def find(k: int) -> int:
+        while top[k] != k:
+            top[k] = top[top[k]]
+            k = top[k]
+        return k
+
     out = []
     for i, j in zip(*(x.tolist() for x in np.nonzero(hit))):
-        a, b = find(roots[i]), find(roots[j])
+        a, b = find(i), find(j)
         if a != b:
             top[max(a, b)] = min(a, b)
             out.append((i, j))
     return out
 
 
-def compare(rest: DataFrame, df: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): links between different roots among the members of a leader; rest: lead, id, root.
+def compare(pool: DataFrame, df: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """(a, b, links): links that join sets (links is null), and with a = b a set's number of linked rows in a task;
+    pool: lead, id, leads (all leaders of the id), size, rows.
 
-    Leaders with at most ``BLOCK`` members share tasks of about that many; others are cut into blocks, and each pair of
-    blocks is a task of its own."""
-    sizes = rest.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    bins = max(1, rest.count() // BLOCK)
-    ids = rest.select("id").distinct()
-    texts = _texts(df, ids, id_col, text_col).dropDuplicates(["id"])
-    dealt = rest.join(sizes, "lead").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    Groups of one block share tasks of about that many members; others are cut into blocks, and each pair of blocks is a
+    task of its own."""
+    sizes = pool.groupBy("lead").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / GRAMS)).alias("blocks"))
+    all_ = pool.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("grams")).first()
+    bins = max(1, all_.n // BLOCK, all_.grams // GRAMS)
+    texts = _texts(df, pool.select("id").distinct(), id_col, text_col).dropDuplicates(["id"])
+    dealt = pool.join(sizes, "lead").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    tasks = dealt.select("lead", "id", "root", "block", "blocks", other).select(
-        "lead", "id", "root", "block",
+    tasks = dealt.select("lead", "id", "leads", "rows", "block", "blocks", other).select(
+        "lead", "id", "leads", "rows", "block",
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("lead"), F.lit(bins))).otherwise(F.col("lead")).alias("k"),
         F.when(F.col("blocks") == 1, -1).otherwise(F.least("block", "other")).alias("x"), F.greatest("block", "other").alias("y"),
     )
@@ -201,19 +198,25 @@ def compare(rest: DataFrame, df: DataFrame, n: int, threshold: float, id_col: st
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         x, y = key[1].as_py(), key[2].as_py()
         by: dict[int, list] = {}
-        for lead, i, root, block, text in zip(*(table.column(c).to_pylist() for c in ("lead", "id", "root", "block", "text"))):
-            by.setdefault(lead, []).append((i, root, block, text))
-        a, b = [], []
-        for rows in by.values():
-            if len({r[1] for r in rows}) < 2:
-                continue
-            rows.sort(key=lambda r: r[0])
-            for i, j in links_between([shingles(r[3], n) for r in rows], [r[1] for r in rows], threshold, [r[2] for r in rows] if x >= 0 and x != y else None):
-                a.append(rows[i][0])
-                b.append(rows[j][0])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return tasks.join(texts, "id").groupBy("k", "x", "y").applyInArrow(run, "a long, b long").distinct()
+        for lead, *row in zip(*(table.column(c).to_pylist() for c in ("lead", "id", "leads", "rows", "block", "text"))):
+            by.setdefault(lead, []).append(row)
+        a, b, links = [], [], []
+        for lead, members in by.items():
+            members.sort(key=lambda r: r[0])
+            ids, leads, rows, block, text = zip(*members)
+            hit = links_between([shingles(t, n) for t in text], [np.array(v, np.int64) for v in leads], lead, threshold, list(block) if x >= 0 and x != y else None)
+            for i, j in spanning(hit):
+                a.append(ids[i])
+                b.append(ids[j])
+                links.append(None)
+            degree = (hit | hit.T) @ np.array(rows, np.int64)
+            for i in np.nonzero(degree)[0].tolist():
+                a.append(ids[i])
+                b.append(ids[i])
+                links.append(int(degree[i]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(links, pa.int64())})
+
+    return tasks.join(texts, "id").groupBy("k", "x", "y").applyInArrow(run, "a long, b long, links long")
 
 
 def _texts(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -230,27 +233,17 @@ def classes(df: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: flo
     known = signed.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     sets = cut(known.groupBy("key").agg(F.min(F.struct("doc_id", "size", "bands")).alias("x"), F.count(F.lit(1)).alias("rows")).select("key", F.col("x.doc_id").alias("id"), F.col("x.size").alias("size"), F.col("x.bands").alias("bands"), "rows"), "sets")
     # rows that share an id but not a text: only one text can stand for the id
-    alone = sets.groupBy("id").agg(F.max(F.struct("size", "bands")).alias("x")).select("id", "x.*")
-    members = alone.select("id", "size", F.explode("bands").alias("band"))
-    lead = members.groupBy("band").agg(F.min(F.struct("id", "size")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", F.col("l.id").alias("lead"), F.col("l.size").alias("lead_size"))
-    buckets = cut(members.join(lead, "band"), "buckets")
-    alike = lambda x, y: (F.col(x) >= F.col(y) * F.lit(threshold) - 1e-9) & (F.col(y) >= F.col(x) * F.lit(threshold) - 1e-9)
-    star = cut(buckets.where((F.col("id") != F.col("lead")) & alike("size", "lead_size")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "star")
-    sound = cut(verify(star, _texts(df, star.select(F.explode(F.array("a", "b")).alias("id")).distinct(), id_col, text_col), n), "star-verified")
-    ties = sound.where(F.col("sim") >= threshold - 1e-9).select("a", "b")
-    roots = components(ties)
-    # members of one bucket that are not in one component yet
-    placed = buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    rest = cut(placed.join(split, "band").select("lead", "id", "root").distinct(), "rest")
-    found = cut(compare(rest, df, n, threshold, id_col, text_col), "residual")
-    links = ties.union(found).distinct()
-    final = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+    alone = sets.groupBy("id").agg(F.max(F.struct("size", "bands", "rows")).alias("x")).select("id", "x.*")
+    members = alone.select("id", F.explode("bands").alias("band"))
+    lead = members.groupBy("band").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "lead")
+    led = members.join(lead, "band").groupBy("id").agg(F.sort_array(F.collect_set("lead")).alias("leads"))
+    pool = cut(led.join(alone.select("id", "size", "rows"), "id").select(F.explode("leads").alias("lead"), "id", "leads", "size", "rows"), "pool")
+    found = cut(compare(pool, df, n, threshold, id_col, text_col), "links")
+    final = components(found.where("a <> b").select("a", "b"))
+    degree = found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     label = sets.select("key", "id", "rows").join(final.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
     label = label.select("key", F.coalesce("root", "id").alias("class_id"), F.col("rows").alias("set_size"), (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
-    for used in (buckets, star, rest):
-        remove(spark, used)
+    remove(spark, pool)
     # rows without words have no set; a key of their own spreads them over the join
     own = F.coalesce("key", F.unhex(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     out = signed.select("doc_id", own.alias("key")).join(label, "key", "left")
