@@ -453,6 +453,15 @@ def test_automaton_and_phrases():
         assert row == langid.brute(t, samples, p), t
 
 
+@pytest.mark.parametrize("rare", [1999, 2000, 2100])
+def test_langid_keeps_whole_samples(rare):
+    r = random.Random(3)
+    samples = {"a": "".join(r.choice("abcd ") for _ in range(6000)), "b": "".join(r.choice("cdef ") for _ in range(rare))}
+    p = langid.Parser(samples)
+    assert p.norm.tolist() == [np.log(6000), np.log(rare)]
+    assert p.phrases([samples["a"][4000:5000], samples["b"][:1000]]).diagonal().tolist() == [1, 1]
+
+
 def test_langid_accuracy(spark):
     got = queries.op8_language_id(spark, "/root/testdata/sf0.01").collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}

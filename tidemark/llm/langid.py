@@ -2,7 +2,7 @@
 
 Per language a suffix automaton of labelled text is built. A text is cut greedily into phrases, each the longest match
 that occurs in that language's sample; the language that needs the fewest phrases a character wins, phrases being
-normalised by the logarithm of the sample's size (all samples have the same size here, so the order is that of counts).
+normalised by the logarithm of the sample's size. Each language keeps its whole sample, whatever the others' sizes are.
 
 Parsing runs over all characters of all texts at once: each automaton is a dense table (state x symbol), texts are cut
 into blocks of ``BLOCK`` symbols (a phrase ends at a block's end), and one numpy step moves every block of a batch by a
@@ -55,8 +55,7 @@ class Parser:
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.langs = sorted(samples)
-        least = min((len(v) for v in samples.values()), default=0)
-        texts = {k: samples[k][:least].lower() if least >= 2000 else samples[k].lower() for k in self.langs}
+        texts = {k: samples[k].lower() for k in self.langs}
         self.norm = np.array([np.log(max(len(texts[k]), 2)) for k in self.langs])
         seen = Counter(c for v in texts.values() for c in v if c.isalpha())
         letters = sorted(sorted(seen), key=lambda c: -seen[c])[: SYMBOLS - 2]
@@ -206,9 +205,8 @@ def identify(df: DataFrame, samples: dict[str, str], text_col: str = "text", pre
 def brute(text: str, samples: dict[str, str], p: Parser) -> list[int]:
     """Phrase counts by substring search, for tests."""
     out = []
-    least = min(len(v) for v in samples.values())
     for k in p.langs:
-        body = bytes(p.codes((samples[k][:least] if least >= 2000 else samples[k]).lower()))
+        body = bytes(p.codes(samples[k].lower()))
         codes, n = bytes(p.codes(text)), 0
         for first in range(0, len(codes), BLOCK):
             block, at = codes[first : first + BLOCK], 0
