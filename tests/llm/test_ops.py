@@ -462,6 +462,29 @@ def test_langid_keeps_whole_samples(rare):
     assert p.phrases([samples["a"][4000:5000], samples["b"][:1000]]).diagonal().tolist() == [1, 1]
 
 
+def test_langid_many_letters():
+    """Two languages of one large alphabet beside three of other scripts, and phrase counts by search in the texts."""
+    r = random.Random(4)
+    han, latin, greek, cyrillic = ([chr(at) for at in range(*x)] for x in ((0x4E00, 0x4E00 + 300), (97, 123), (0x3B1, 0x3C1), (0x430, 0x450)))
+    words = {k: ["".join(r.choice(of) for _ in range(r.randint(1, 4))) for _ in range(150)] for k, of in {"en": latin, "el": greek, "ru": cyrillic, "ja": han, "zh": han}.items()}
+    text = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    samples = {k: text(k, 2000) for k in words}
+    p = langid.Parser(samples)
+    texts = [(k, text(k, 40)) for k in words for _ in range(5)]
+    assert [x for x, _ in p.predict([t for _, t in texts])] == [k for k, _ in texts]
+    for (_, t), row in zip(texts, p.phrases([t for _, t in texts]).tolist()):
+        want = []
+        for k in p.langs:
+            at = n = 0
+            while at < len(t):
+                size = 1
+                while at + size < len(t) and t[at : at + size + 1] in samples[k]:
+                    size += 1
+                at, n = at + size, n + 1
+            want.append(n)
+        assert row == want == langid.brute(t, samples, p)
+
+
 def test_langid_accuracy(spark):
     got = queries.op8_language_id(spark, "/root/testdata/sf0.01").collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}

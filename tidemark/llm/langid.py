@@ -4,7 +4,8 @@ Per language a suffix automaton of labelled text is built. A text is cut greedil
 that occurs in that language's sample; the language that needs the fewest phrases a character wins, phrases being
 normalised by the logarithm of the sample's size. Each language keeps its whole sample, whatever the others' sizes are.
 
-Parsing runs over all characters of all texts at once: each automaton is a dense table (state x symbol), texts are cut
+All letters of the samples have a symbol of their own. Parsing runs over all characters of all texts at once: an automaton is
+a dense table (state x symbol of its sample), or with more than ``DENSE`` symbols a sorted list of its transitions; texts are cut
 into blocks of ``BLOCK`` symbols (a phrase ends at a block's end), and one numpy step moves every block of a batch by a
 symbol in every language. Memory is bounded by the batch and the tables.
 
@@ -15,7 +16,6 @@ that are null are not learned from. Equal texts get equal results. Extra columns
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +26,8 @@ from pyspark.sql import Window as W
 
 #: Bounds of the labelled sample: documents a language, and characters a language that its automaton holds.
 SAMPLE_DOCS, SAMPLE_CHARS = 200, 24_000
-SYMBOLS, BLOCK = 56, 2048
+#: Symbols up to which an automaton is a dense table; symbols of a block.
+DENSE, BLOCK = 128, 2048
 
 
 def held_out(id_col: str = "doc_id"):
@@ -50,37 +51,63 @@ def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     return {k: v[:chars] for k, v in out.items()}
 
 
+class Group:
+    """Automata of one form: languages, per language symbol -> own symbol and -> state of a new phrase, rows' places in all."""
+
+    def __init__(self) -> None:
+        self.langs, self.local, self.start, self.base = [], [], [], 0
+
+    def add(self, lang: int, local: np.ndarray, start: np.ndarray, places: int) -> None:
+        self.langs.append(lang)
+        self.local.append(local)
+        self.start.append(start)
+        self.base += places
+
+
 class Parser:
-    """Automata of all languages as one table of next states; a negative entry also ends a phrase."""
+    """Automata of all languages; states are places of their rows, so that those of different languages differ.
+
+    Dense automata share one table of next states, in which a negative entry also ends a phrase; the others share sorted
+    arrays of transitions (place of row and symbol) and next states."""
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.langs = sorted(samples)
         texts = {k: samples[k].lower() for k in self.langs}
         self.norm = np.array([np.log(max(len(texts[k]), 2)) for k in self.langs])
-        seen = Counter(c for v in texts.values() for c in v if c.isalpha())
-        letters = sorted(sorted(seen), key=lambda c: -seen[c])[: SYMBOLS - 2]
-        # 0: anything that is not a letter; 1: a letter that is not in the samples' list
-        self.code = np.zeros(0x110000, np.uint8)
-        for at in range(128, 0x3000):
-            if chr(at).isalpha():
-                self.code[at] = 1
-        self.code[0x3000:] = 1
+        letters = sorted({c for v in texts.values() for c in v if c.isalpha()})
+        # 0: anything that is not a letter; 1: a letter that no sample holds
+        self.code = np.array([chr(at).isalpha() for at in range(0x110000)]).astype(np.min_scalar_type(len(letters) + 1))
         for i, c in enumerate(letters, 2):
-            for x in {c, *(y for y in (c.upper(),) if len(y) == 1)}:
+            for x in {c, *(y for y in (c.upper(),) if len(y) == 1 and y.lower() == c)}:
                 self.code[ord(x)] = i
-        for at in (*range(65, 91), *range(97, 123)):
-            if not self.code[at]:
-                self.code[at] = 1
-        tables, self.starts, base = [], [], 0
-        for k in self.langs:
-            t = automaton(self.codes(texts[k]).tolist(), SYMBOLS)
-            # (state, symbol) -> SYMBOLS * next state; where the match ends, the complement of the state that a new phrase starts in
-            t = np.concatenate([t, np.full((1, SYMBOLS), -1)])  # the last state: after a symbol that the sample lacks
-            restart = (np.where(t[0] >= 0, t[0], len(t) - 1) + base) * SYMBOLS
-            tables.append(np.where(t >= 0, (t + base) * SYMBOLS, ~restart).astype(np.int32))
-            self.starts.append(restart.astype(np.int32))
-            base += len(t)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        tables, keys, nexts = [], [], []
+        self.dense, self.sparse = Group(), Group()
+        for k, lang in enumerate(self.langs):
+            codes = self.codes(texts[lang])
+            own = np.unique(codes)
+            # 0: a symbol that this sample lacks
+            local = np.zeros(len(letters) + 2, np.int32)
+            local[own] = np.arange(1, len(own) + 1)
+            go, width = automaton(local[codes].tolist()), len(own) + 1
+            group = self.dense if width <= DENSE else self.sparse
+            count = np.array([len(g) for g in go])
+            state = np.repeat(np.arange(len(go)), count)
+            symbol = np.fromiter((c for g in go for c in g), np.int64, count.sum())
+            after = np.fromiter((t for g in go for t in g.values()), np.int64, count.sum()) * width + group.base
+            # the state that a new phrase starts in, by symbol; the last state is that after a symbol that the sample lacks
+            restart = np.full(width, len(go) * width + group.base)
+            restart[symbol[: count[0]]] = after[: count[0]]
+            if group is self.dense:
+                t = np.tile(~restart, (len(go) + 1, 1))
+                t[state, symbol] = after
+                tables.append(t.astype(np.int32).ravel())
+            else:
+                order = np.argsort(at := state * width + symbol + group.base)
+                keys.append(at[order])
+                nexts.append(after[order])
+            group.add(k, local, restart[local], (len(go) + 1) * width)
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        self.keys, self.nexts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, nexts))
 
     def codes(self, text: str) -> np.ndarray:
         return self.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -107,21 +134,34 @@ class Parser:
     def _walk(self, parts: list[np.ndarray]) -> np.ndarray:
         sizes = np.array([len(p) for p in parts])
         m, n = int(sizes[0]), len(parts)
-        grid = np.zeros((n, m), np.uint8)
+        grid = np.zeros((n, m), self.code.dtype)
         for i, p in enumerate(parts):
             grid[i, : len(p)] = p
         grid = np.ascontiguousarray(grid.T)
         active = n - np.searchsorted(sizes[::-1], np.arange(1, m + 1))  # blocks longer than t, at t = 0, 1, ...
-        k = len(self.langs)
-        state = np.stack([start[grid[0]] for start in self.starts])
-        ended = np.zeros((k, n), np.int64)
-        table = self.table
-        for t in range(1, m):
-            a = active[t]
-            now = table[state[:, :a] + grid[t, :a]]
-            sign = now >> 31
-            ended[:, :a] -= sign
-            state[:, :a] = now ^ sign
+        ended = np.zeros((len(self.langs), n), np.int64)
+        if self.dense.langs:
+            local, state = np.stack(self.dense.local), np.stack(self.dense.start).astype(np.int32)[:, grid[0]]
+            some, table = np.zeros(state.shape, np.int64), self.table
+            for t in range(1, m):
+                a = active[t]
+                now = table[state[:, :a] + local[:, grid[t, :a]]]
+                sign = now >> 31
+                some[:, :a] -= sign
+                state[:, :a] = now ^ sign
+            ended[self.dense.langs] = some
+        if self.sparse.langs:
+            local, start = np.stack(self.sparse.local), np.stack(self.sparse.start)
+            state = start[:, grid[0]]
+            some = np.zeros(state.shape, np.int64)
+            for t in range(1, m):
+                a = active[t]
+                key = state[:, :a] + local[:, grid[t, :a]]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                goes = self.keys[at] == key
+                some[:, :a] += ~goes
+                state[:, :a] = np.where(goes, self.nexts[at], start[:, grid[t, :a]])
+            ended[self.sparse.langs] = some
         return (ended + 1).T
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -141,8 +181,8 @@ class Parser:
         return out
 
 
-def automaton(codes: list[int], symbols: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a sequence: (state, symbol) -> state or -1; state 0 is the root."""
+def automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of a sequence: by state, symbol -> state; state 0 is the root."""
     link, length, go = [-1], [0], [{}]
     last = 0
     for c in codes:
@@ -168,11 +208,7 @@ def automaton(codes: list[int], symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    out = np.full((len(go), symbols), -1, np.int64)
-    for s, g in enumerate(go):
-        for c, t in g.items():
-            out[s, c] = t
-    return out
+    return go
 
 
 _PARSERS: dict[tuple, Parser] = {}
@@ -206,8 +242,8 @@ def brute(text: str, samples: dict[str, str], p: Parser) -> list[int]:
     """Phrase counts by substring search, for tests."""
     out = []
     for k in p.langs:
-        body = bytes(p.codes(samples[k].lower()))
-        codes, n = bytes(p.codes(text)), 0
+        body = "".join(map(chr, p.codes(samples[k].lower())))
+        codes, n = "".join(map(chr, p.codes(text))), 0
         for first in range(0, len(codes), BLOCK):
             block, at = codes[first : first + BLOCK], 0
             while at < len(block):
