@@ -348,6 +348,15 @@ def test_lines_against_brute(spark):
     assert got == {i: applied(t, i, gone) for i, t in rows}
 
 
+def test_lines_filters_of_large_sets(spark):
+    n = 1 << 20
+    rows = spark.createDataFrame([(n - 1, n - 1, 0), (n, n, 0), (n, n + 9, 0), (3 * n, 3 * n, 0), (n, 2 * n, 0), (n, n, 1), (9, 9, 1)], "na long, nb long, done long")
+    side = lambda k, done: F.struct(linededup._np(F.lit(0) + done * linededup._PLACE * linededup._PLACE), F.lit(5).cast("long").alias("bits"), F.lit(6).cast("long").alias("more")).alias(k)
+    packed = rows.withColumn("n", F.col("na")).withColumn("a", side("a", F.col("done"))).withColumn("n", F.col("nb")).withColumn("b", side("b", F.lit(0)))
+    got = packed.select("na", "nb", "done", linededup._passes(0.8).alias("ok")).collect()
+    assert [r.ok for r in got] == [r.done == 0 and r.nb < 2 * r.na for r in got]
+
+
 def test_lines_real(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.collect()]
