@@ -348,13 +348,40 @@ def test_lines_against_brute(spark):
     assert got == {i: applied(t, i, gone) for i, t in rows}
 
 
-def test_lines_filters_of_large_sets(spark):
-    n = 1 << 20
-    rows = spark.createDataFrame([(n - 1, n - 1, 0), (n, n, 0), (n, n + 9, 0), (3 * n, 3 * n, 0), (n, 2 * n, 0), (n, n, 1), (9, 9, 1)], "na long, nb long, done long")
-    side = lambda k, done: F.struct(linededup._np(F.lit(0) + done * linededup._PLACE * linededup._PLACE), F.lit(5).cast("long").alias("bits"), F.lit(6).cast("long").alias("more")).alias(k)
-    packed = rows.withColumn("n", F.col("na")).withColumn("a", side("a", F.col("done"))).withColumn("n", F.col("nb")).withColumn("b", side("b", F.lit(0)))
-    got = packed.select("na", "nb", "done", linededup._passes(0.8).alias("ok")).collect()
-    assert [r.ok for r in got] == [r.done == 0 and r.nb < 2 * r.na for r in got]
+def test_lines_of_over_a_million_tokens(spark):
+    n = (1 << 20) + 4
+    body = [str(i) for i in range(n)]
+    texts = [" ".join(body), " ".join(body[12:]), " ".join(body[: n // 2]), " ".join([*body[: n // 2 - 9], "x"])]
+    got = {r.doc_id: r.n for r in linededup.dedup_lines(docs(spark, texts), count_col="n").select("doc_id", "n").collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1}
+
+
+@pytest.mark.parametrize(("leaders", "salted"), [(1, 17), (3, 1)])
+def test_lines_in_groups_against_brute(spark, monkeypatch, leaders, salted):
+    """Dense groups, some of whose members match each other but not the group's first lines, and salted tokens."""
+    monkeypatch.setattr(linededup, "LEADERS", leaders)
+    monkeypatch.setattr(linededup, "SALTED", salted)
+    r = random.Random(61)
+    words = [f"q{i}" for i in range(2000)]
+    rows = []
+    for size in (9, 10, 27, 60):
+        base = r.sample(words, size)
+        for _ in range(40):
+            own = list(base)
+            for _ in range(r.randint(0, 2 + size // 9)):
+                own[r.randrange(size)] = r.choice(words)
+            rows.append(" ".join(own))
+    r.shuffle(rows)
+    rows = [(i // 2, "\n".join(rows[i : i + 2])) for i in range(0, len(rows), 2)]
+    gone = brute_lines(rows)
+    got = {x.doc_id: x.text for x in linededup.dedup_lines(spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], SCHEMA)).collect()}
+    assert got == {i: applied(t, i, gone) for i, t in rows}
+
+
+def test_lines_clashing_columns(spark):
+    df = docs(spark, ["a b c d e f", "a b c d e f\nz", None]).withColumns({c: F.lit(c) for c in ("doc_id_", "th", "stay", "gone", "c0", "c1", "s", "k", "at", "__id", "__th", "__gone", "__rest")})
+    got = linededup.dedup_lines(df)
+    assert got.columns == df.columns and sorted((r.doc_id, r.text, r.stay, r.c0, r["__id"]) for r in got.collect())[1] == (1, "z", "stay", "c0", "__id")
 
 
 def test_lines_real(spark):

@@ -34,14 +34,28 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
+#: Spark then deletes the shuffle files of a job when it ends; the table that it wrote has taken their place.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later stages start from durable files."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns c0, c1, ..., and their own names: no column of the caller's can clash with an operator's own."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns
+
+
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table made by ``cut`` that nothing reads any more."""
     for file in df.inputFiles()[:1]:
