@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: Rows of one Arrow batch handed to Python; with the longest texts a batch stays in tens of MB.
 ARROW_ROWS = 256
 
@@ -19,19 +24,36 @@ def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or where it is unset (tests) a new local one."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session (tests) may leave it unset; it then gets
+    a folder of its own, while a cluster raises, since its executors would each write to their own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete all intermediate tables that this process has made; call it when the results that read them are written."""
+    return sum(_delete(spark, _MADE.pop()) for _ in range(len(_MADE)))
+
+
+def _delete(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Spark then deletes the shuffle files of a job when it ends; the table that it wrote has taken their place.
@@ -61,8 +83,19 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
     for file in df.inputFiles()[:1]:
         folder = file.rsplit("/", 1)[0]
         if "/tidemark-" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
+
+
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable[[], T]) -> T:
+    """What a Python worker keeps between tasks. It keeps one thing: another operator's takes its place."""
+    if key not in _HELD:
+        _HELD.clear()
+        pa.default_memory_pool().release_unused()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def wanted(of: DataFrame, value: str, most: int = 1 << 20) -> Column:
@@ -79,7 +112,3 @@ def wanted(of: DataFrame, value: str, most: int = 1 << 20) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))

@@ -24,8 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Bounds of the labelled sample: documents a language, and characters a language that its automaton holds.
-SAMPLE_DOCS, SAMPLE_CHARS = 200, 24_000
+from tidemark.llm.common import held
+
+#: Bounds of the labelled sample: languages (those with most labelled documents), documents a language, and characters a
+#: language that its automaton holds.
+SAMPLE_LANGS, SAMPLE_DOCS, SAMPLE_CHARS = 256, 200, 24_000
 #: Symbols up to which an automaton is a dense table; symbols of a block.
 DENSE, BLOCK = 128, 2048
 
@@ -34,19 +37,19 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 4 == 2
 
 
-def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
+def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, langs: int = SAMPLE_LANGS) -> dict[str, str]:
     """Per language at most ``chars`` characters of at most ``docs`` labelled documents that are not held out, chosen by the
-    hash of their id: narrow rows are ranked first, then only the chosen texts are read. Its size doesn't depend on the data."""
-    own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    hash of their id, for the ``langs`` languages with most of them: narrow rows are ranked first, then only the chosen texts
+    are read. The sample's size does not depend on the data."""
+    own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(True)))
-    order = F.xxhash64("doc_id", F.lit("langid"))
-    ranked = known.select("lang", "doc_id", order.alias("o")).withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("o", "doc_id"))).where(f"r <= {docs}")
-    ids = [r.doc_id for r in ranked.select("doc_id").collect()]
-    if not ids:
-        return {}
-    texts = known.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", "text", order.alias("o")).collect()
+    common = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(langs).select("lang")
+    narrow = known.select("lang", "doc_id", F.xxhash64("text").alias("th"), F.xxhash64("doc_id", F.lit("langid")).alias("o"))
+    by = W.partitionBy("lang").orderBy("o", "doc_id", "th")
+    chosen = narrow.join(F.broadcast(common), "lang").withColumn("r", F.row_number().over(by)).where(f"r <= {docs}").select("lang", "doc_id", "th", "o").distinct()
+    texts = known.withColumn("th", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "doc_id", "th"])  # langs x docs rows at most
     out: dict[str, str] = {}
-    for r in sorted({(r.lang, r.o, r.doc_id, r.text) for r in texts}):
+    for r in texts.select("lang", "o", "doc_id", F.substring("text", 1, chars).alias("text")).distinct().orderBy("lang", "o", "doc_id", "text").collect():
         out[r[0]] = out.get(r[0], "") + ("\n" + r[3] if len(out.get(r[0], "")) < chars else "")
     return {k: v[:chars] for k, v in out.items()}
 
@@ -211,15 +214,8 @@ def automaton(codes: list[int]) -> list[dict[int, int]]:
     return go
 
 
-_PARSERS: dict[tuple, Parser] = {}
-
-
 def parser(samples: dict[str, str]) -> Parser:
-    key = tuple(sorted(samples.items()))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = Parser(samples)
-    return _PARSERS[key]
+    return held(("parser", *sorted(samples.items())), lambda: Parser(samples))
 
 
 def identify(df: DataFrame, samples: dict[str, str], text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
