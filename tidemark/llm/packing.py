@@ -1,13 +1,14 @@
 """Packing of tokenized documents into sequences, first-fit decreasing over a tournament tree.
 
-Documents are dealt at random (by a hash) into groups of about ``GROUP`` documents. In a group each document is
+Documents are dealt at random (by a hash) into groups of about ``GROUP`` documents and at most about ``GROUP_BYTES`` of
+text. In a group each document is
 tokenized, ended by the end id, and cut at multiples of the sequence length; the pieces, longest first, go to the first
 sequence with room, which a tournament tree over the sequences' free space finds in O(log n). Groups are independent:
 one task holds one group, and a lost one is redone alone. Sequences of different groups never mix.
 
 The tokenizer lower-cases and never joins characters across white space, so a chunk between white space always gives
-the same ids; each worker keeps a bounded cache of them and of the words in them. Texts with U+001C to U+001F, which Python but not the tokenizer
-counts as white space, go through the tokenizer whole.
+the same ids; each worker keeps a bounded cache of them and of the words in them. Texts with U+001C to U+001F, which
+Python but not the tokenizer counts as white space, go through the tokenizer whole.
 
 Defined results: null and empty texts are one piece that holds the end id; a text of any length is cut into whole
 sequences and a rest; repeated rows are packed once each; equal lengths go in order of doc_id and start; an empty table
@@ -16,6 +17,7 @@ gives no pieces. Extra columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -24,7 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LENGTH, END, GROUP = 2048, 1, 400
+from tidemark.llm.common import held
+
+#: Documents and bytes of text of a group, on average: what a task holds at a time.
+LENGTH, END, GROUP, GROUP_BYTES = 2048, 1, 400, 8 << 20
 #: Entries of a worker's cache, of about 150 bytes each.
 CACHE = 500_000
 SCHEMA = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -128,17 +133,9 @@ class Chunks:
         return b"".join(map(self.known.__getitem__, parts))
 
 
-_CHUNKS: dict[str, Chunks] = {}
-
-
 def chunks(path: str) -> Chunks:
-    if path not in _CHUNKS:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _CHUNKS.clear()
-        _CHUNKS[path] = Chunks(path)
-    return _CHUNKS[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return held(("chunks", path), lambda: Chunks(path))
 
 
 def pieces(documents: list[tuple[int, bytes]], length: int) -> list[tuple[int, int, bytes, int]]:
@@ -154,7 +151,9 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     """One row per piece: doc_id, start, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     ``tokenizer`` is the path of a vocabulary file that every executor can open."""
-    groups = max(1, -(-df.count() // group))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    size = df.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
+    groups = max(1, -(-size.n // group), -(-size.bytes // GROUP_BYTES))
     tail = int(end).to_bytes(4, "little")
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -172,9 +171,9 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
             "offset": pa.array([o for _, o in placed], pa.int64()),
         })
 
-    own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # the text counts too, so that rows that share an id do not share a group
-    dealt = own.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(groups)))
+    own = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    # the text and the row's number count too, so that rows that share an id, or repeat fully, do not share a group
+    dealt = own.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)))
     return dealt.groupBy("grp").applyInArrow(run, SCHEMA)
 
 
