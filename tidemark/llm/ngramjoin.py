@@ -14,9 +14,9 @@ Result: per row doc_id, class_id (least doc_id of the class), set_size (rows wit
 other rows whose set reaches the threshold with its own, equal ones included, as far as the sets share a band (recall 0.998
 at the threshold, more above it).
 
-Defined results: null texts and texts without words are a class of their own each, without links; repeated rows are
-copies; a set's id is its least doc_id, so rows that share an id but not a text are not told apart in ids only. Extra
-columns are not read.
+Defined results: null texts, texts without words and rows without a doc_id are a class of their own each, without links;
+repeated rows are copies; rows that share an id but not a text are documents of their own, told apart by their texts'
+hashes. Extra columns are not read, and ``keep_one`` carries them along.
 """
 
 from __future__ import annotations
@@ -30,12 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, remove, wanted
+from tidemark.llm.common import cut, held, numbered, remove, wanted
 from tidemark.llm.components import components
 
 N, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.998, 128
 #: Members of a leader, and their n-grams, that one side of a comparison holds.
-BLOCK, GRAMS = 768, 2_000_000
+BLOCK, GRAMS = 768, 1_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -59,15 +59,12 @@ class Words(dict):
         return value
 
 
-_WORDS = Words()
-
-
 def shingles(text: str | None, n: int = N) -> np.ndarray:
     """The sorted distinct hashes of the text's n-grams."""
     words = _WORD.findall((text or "").lower())
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(held(("words",), Words).__getitem__, words), np.uint64, len(words))
     n = min(n, len(h))
     size = len(h) - n + 1
     out = np.full(size, 0x9E3779B97F4A7C15 * n & 0xFFFFFFFFFFFFFFFF, np.uint64)
@@ -98,7 +95,7 @@ def signature(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, bands: int, rows: int, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key (128-bit hash of the set; null without words), size and bands of every whole text."""
+    """doc_id, th (hash of the text), key (128-bit hash of the set; null without words), size and bands of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,9 +108,10 @@ def signatures(df: DataFrame, bands: int, rows: int, n: int = N, id_col: str = "
                     flat.append(signature(grams, bands, rows).view(np.int64))
                 ends.append(ends[-1] + (bands if len(grams) else 0))
             values = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], ["doc_id", "key", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], ["doc_id", "th", "key", "size", "bands"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, key binary, size long, bands array<long>")
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th")).mapInArrow(run, "doc_id long, th long, key binary, size long, bands array<long>")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -186,7 +184,7 @@ def compare(pool: DataFrame, df: DataFrame, n: int, threshold: float, id_col: st
     sizes = pool.groupBy("lead").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / GRAMS)).alias("blocks"))
     all_ = pool.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("grams")).first()
     bins = max(1, all_.n // BLOCK, all_.grams // GRAMS)
-    texts = _texts(df, pool.select("id").distinct(), id_col, text_col).dropDuplicates(["id"])
+    texts = _texts(df, pool.select("id", "doc_id", "th").distinct(), id_col, text_col)
     dealt = pool.join(sizes, "lead").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     tasks = dealt.select("lead", "id", "leads", "rows", "block", "blocks", other).select(
@@ -219,42 +217,56 @@ def compare(pool: DataFrame, df: DataFrame, n: int, threshold: float, id_col: st
     return tasks.join(texts, "id").groupBy("k", "x", "y").applyInArrow(run, "a long, b long, links long")
 
 
-def _texts(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and text of the documents in ``ids``; a map-side filter keeps most other texts out of the shuffle."""
-    own = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return own.where(wanted(ids, "id")).join(ids, "id", "left_semi")
+def _texts(df: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and text of the documents in ``sets`` (id, doc_id, th); a map-side filter keeps most other texts out of the shuffle,
+    and rows that repeat fully are merged before it."""
+    text = F.col(text_col).cast("string")
+    own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return own.where(wanted(sets, "th")).dropDuplicates(["doc_id", "th"]).join(sets, ["doc_id", "th"]).select("id", "text")
 
 
-def classes(df: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: doc_id, class_id, set_size, n_links."""
+def _classes(df: DataFrame, n: int, threshold: float, recall: float, hashes: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of ``df``: doc_id, th, class_id, class_th (the class's least doc_id, and its text's hash), set_size, n_links."""
     spark = df.sparkSession
     bands, rows = bands_for(threshold, recall, hashes)
     signed = cut(signatures(df, bands, rows, n, id_col, text_col), "signatures")
     known = signed.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-    sets = cut(known.groupBy("key").agg(F.min(F.struct("doc_id", "size", "bands")).alias("x"), F.count(F.lit(1)).alias("rows")).select("key", F.col("x.doc_id").alias("id"), F.col("x.size").alias("size"), F.col("x.bands").alias("bands"), "rows"), "sets")
-    # rows that share an id but not a text: only one text can stand for the id
-    alone = sets.groupBy("id").agg(F.max(F.struct("size", "bands", "rows")).alias("x")).select("id", "x.*")
-    members = alone.select("id", F.explode("bands").alias("band"))
+    first = known.groupBy("key").agg(F.min(F.struct("doc_id", "th", "size", "bands")).alias("x"), F.count(F.lit(1)).alias("rows"))
+    sets = cut(first.select(F.monotonically_increasing_id().alias("id"), "key", "x.*", "rows"), "sets")
+    members = sets.select("id", F.explode("bands").alias("band"))
     lead = members.groupBy("band").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "lead")
     led = members.join(lead, "band").groupBy("id").agg(F.sort_array(F.collect_set("lead")).alias("leads"))
-    pool = cut(led.join(alone.select("id", "size", "rows"), "id").select(F.explode("leads").alias("lead"), "id", "leads", "size", "rows"), "pool")
+    pool = cut(led.join(sets.select("id", "doc_id", "th", "size", "rows"), "id").select(F.explode("leads").alias("lead"), "id", "doc_id", "th", "leads", "size", "rows"), "pool")
     found = cut(compare(pool, df, n, threshold, id_col, text_col), "links")
-    final = components(found.where("a <> b").select("a", "b"))
+    roots = components(found.where("a <> b").select("a", "b"))
     degree = found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-    label = sets.select("key", "id", "rows").join(final.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
-    label = label.select("key", F.coalesce("root", "id").alias("class_id"), F.col("rows").alias("set_size"), (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
+    label = sets.select("key", "id", "rows", F.struct("doc_id", "th").alias("at")).join(roots.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
+    top = label.where("root is not null").groupBy("root").agg(F.min("at").alias("top"))
+    label = label.join(top, "root", "left").select("key", F.coalesce("top", "at").alias("top"), F.col("rows").alias("set_size"), (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     remove(spark, pool)
-    # rows without words have no set; a key of their own spreads them over the join
-    own = F.coalesce("key", F.unhex(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    out = signed.select("doc_id", own.alias("key")).join(label, "key", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("set_size", F.lit(1)).cast("long").alias("set_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # rows without words or id have no set; a key of their own spreads them over the join
+    own = F.when(F.col("doc_id").isNotNull() & F.col("key").isNotNull(), F.col("key")).otherwise(F.unhex(F.md5(F.concat_ws(":", "doc_id", "th"))))
+    out = signed.select("doc_id", "th", own.alias("key")).join(label, "key", "left")
+    return out.select(
+        "doc_id", "th", F.coalesce(F.col("top.doc_id"), F.col("doc_id")).alias("class_id"), F.coalesce(F.col("top.th"), F.col("th")).alias("class_th"),
+        F.coalesce("set_size", F.lit(1)).cast("long").alias("set_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that stand for their class: the one with the least doc_id (repeats of that row stay with it).
-    Rows without words or without a doc_id stay."""
-    gone = classes(df, id_col=id_col, text_col=text_col, **options).where("class_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left_anti")
+def classes(df: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``df``: doc_id, class_id, set_size, n_links."""
+    return _classes(df, n, threshold, recall, hashes, id_col, text_col).select("doc_id", "class_id", "set_size", "n_links")
+
+
+def keep_one(df: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stand for their class: those with its least doc_id and, of these, the text whose hash is least
+    (repeats of that row stay with it). Rows without words or without a doc_id stay."""
+    plain, names = numbered(df)
+    found = _classes(df, n, threshold, recall, hashes, id_col, text_col)
+    gone = found.where((F.col("class_id") != F.col("doc_id")) | (F.col("class_th") != F.col("th"))).select("doc_id", "th").distinct()
+    id_, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    left = plain.join(gone, (F.col(id_).cast("long") == F.col("doc_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("th")), "left_anti")
+    return left.toDF(*names)
 
 
 def brute(texts: dict[int, str | None], n: int = N, threshold: float = THRESHOLD) -> dict[int, int]:
