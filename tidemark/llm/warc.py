@@ -10,7 +10,8 @@ line separator is the end of a WARC record, gzipped, so any Hadoop file system w
 by number, verifies count, order and total length, decodes the chunked framing and checks the block's digest.
 
 Defined results: a null payload counts as empty; records that lack a segment, state another length or digest, or are
-framed wrongly get status ``damaged`` and no payload; rows that repeat a page are written once each, and all are
+framed wrongly, and bytes that hold no record, get status ``damaged`` and no payload, and reading goes on at the next
+record; rows that repeat a page are written once each, and all are
 responses if the page is the smallest of its payload; an empty table gives none. Cuts fall between characters, so
 records stay UTF-8. Extra columns are not read.
 """
@@ -18,9 +19,8 @@ records stay UTF-8. Extra columns are not read.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +34,8 @@ SEGMENT, CHUNK = 48 << 10, 4096
 RECORDS = 400
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
+#: How a gzip member begins.
+GZIP = b"\x1f\x8b\x08"
 
 
 def digest(payload: bytes) -> str:
@@ -119,21 +121,59 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
     known.mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers in lower case, block) of each record of a file; gzipped files may have several members."""
-    stream = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).getbuffer()
-    whole, at = bytes(stream), 0
+def inflated(data: bytes) -> tuple[bytes, bool]:
+    """The content of a file, gzipped (in any number of members) or not, and whether all of it could be read. After a
+    damaged member it goes on at the next."""
+    if data[:2] != GZIP[:2]:
+        return data, True
+    out, at, sound = [], 0, True
+    while 0 <= at < len(data):
+        one = zlib.decompressobj(31)
+        try:
+            out.append(one.decompress(data[at:]))
+            if not one.eof:
+                return b"".join(out), False
+            rest = one.unused_data.lstrip(b"\0")
+            if rest and not rest.startswith(GZIP):
+                sound, rest = False, rest[rest.find(GZIP) :] if GZIP in rest else b""
+            at = len(data) - len(rest)
+        except zlib.error:
+            sound, at = False, data.find(GZIP, at + 1)
+    return b"".join(out), sound
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(headers in lower case, block) of each record of a file; the block is None where the record is damaged: without a
+    sound length, cut short, or not followed by a record's end. Reading then goes on at the next ``WARC/``; bytes in which
+    there is no record at all are one damaged record without headers."""
+    whole, sound = inflated(data)
+    at, end = 0, END.encode()
     while at < len(whole):
-        end = whole.find(END.encode(), at)
-        if end < 0 or not whole.startswith(b"WARC/", at):
-            return
-        lines = whole[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        stop = whole.find(end, at)
+        if not whole.startswith(b"WARC/", at) or stop < 0:
+            yield {}, None
+            at = _next(whole, at + 1)
+            continue
+        lines = whole[at:stop].decode("utf-8", "replace").split("\r\n")[1:]
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(head.get("content-length", -1))
-        if size < 0:
-            return
-        yield head, whole[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        stated, first = head.get("content-length", ""), stop + 4
+        last = first + int(stated) if stated.isascii() and stated.isdigit() else -1
+        if last < 0 or last > len(whole) or whole[last : last + 4] not in (end, b""):
+            yield head, None
+            at = _next(whole, first)
+            continue
+        yield head, whole[first:last]
+        at = last + 4
+    if not sound:
+        yield {}, None
+
+
+def _next(whole: bytes, at: int) -> int:
+    """Where the next record may begin: at the file's end if nowhere."""
+    found = whole.find(b"WARC/", at)
+    while found > 0 and whole[found - 1 : found] != b"\n":
+        found = whole.find(b"WARC/", found + 1)
+    return len(whole) if found < 0 else found
 
 
 def payload_of(block: bytes) -> bytes:
@@ -175,11 +215,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 for head, block in parse(data):
                     kind, own = head.get("warc-type"), head.get("warc-record-id", "")
                     row = {"record_id": head.get("warc-segment-origin-id", own), "page_id": _page(own), "record_type": kind, "stated": head.get("warc-payload-digest", "").removeprefix("sha1:") or None, "block_digest": head.get("warc-block-digest")}
-                    if kind == "revisit":
+                    number, total = head.get("warc-segment-number"), head.get("warc-segment-total-length")
+                    if block is None or not all(x is None or x.isascii() and x.isdigit() and len(x) < 10 for x in (number, total)):
+                        row["status"] = "damaged"
+                    elif kind == "revisit":
                         row |= {"refers_to": _page(head.get("warc-refers-to", "")), "status": "ok"}
-                    elif "warc-segment-number" in head:
-                        total = head.get("warc-segment-total-length")
-                        row |= {"segment": int(head["warc-segment-number"]), "total": int(total) if total else None, "block": block}
+                    elif number is not None:
+                        row |= {"segment": int(number), "total": int(total) if total else None, "block": block}
                     else:
                         try:
                             row |= {"payload": assemble([(1, None, block)], row["block_digest"]), "status": "ok"}
