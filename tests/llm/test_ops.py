@@ -630,3 +630,150 @@ def test_warc_lost_segment(spark, tmp_path):
     assert [r.status for r in got] == ["damaged"] and got[0].payload is None
 
 
+
+
+def test_warc_goes_on_after_damage(spark, tmp_path):
+    import gzip
+
+    one = lambda n, text=b"x" * 100: "".join(r + warc.END for r in warc.records(n, 0, "u", text, None)).encode()
+    bad = one(9).replace(b"Content-Length: ", b"Content-Size: ")
+    wrong = one(8).replace(b"Content-Length: ", b"Content-Length: 1")
+    words = one(7).replace(b"Content-Length: ", b"Content-Length: x")
+    segment = one(6, "é".encode() * 40_000).replace(b"WARC-Segment-Number: 1", b"WARC-Segment-Number: one")
+    files = {
+        "a": one(1) + b"junk\r\n\r\nmore junk\r\n" + one(2),
+        "b": one(3) + bad + one(4),
+        "c": wrong + one(5) + words + one(10),
+        "d": segment + one(11),
+        "e": gzip.compress(one(12)) + gzip.compress(one(13))[:-30] + b"????" + gzip.compress(one(14)),
+        "f": b"nothing at all",
+    }
+    for name, data in files.items():
+        (tmp_path / f"{name}.warc").write_bytes(data)
+    got = warc.read(spark, str(tmp_path)).collect()
+    good = sorted(r.page_id for r in got if r.status == "ok")
+    assert good == [1, 2, 3, 4, 5, 10, 11, 12, 14]
+    assert all(bytes(r.payload) == b"x" * 100 for r in got if r.status == "ok")
+    assert {r.page_id for r in got if r.status == "damaged"} >= {6, 7, 8, 9, None} and all(r.payload is None for r in got if r.status == "damaged")
+
+
+def test_ngram_repeated_ids(spark):
+    r = random.Random(9)
+    text = lambda: [f"w{r.randrange(5000)}" for _ in range(100)]
+    near_ = lambda t: " ".join([*t[:50], "new", *t[51:]])
+    a, b = text(), text()
+    rows = [(0, " ".join(a)), (1, " ".join(b)), (1, near_(a)), (2, near_(b)), (None, " ".join(a)), (3, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], SCHEMA).withColumns({c: F.lit(c) for c in ("th", "class_id", "__id", "c0")})
+    got = sorted((x.doc_id, x.class_id, x.n_links) for x in ngramjoin.classes(df).where("doc_id is not null").collect())
+    assert got == [(0, 0, 1), (1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 3, 0)]
+    left = ngramjoin.keep_one(df)
+    assert left.columns == df.columns
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.text or "") for x in left.collect()) == sorted((i is None, i or 0, t or "") for i, t in [rows[0], rows[1], rows[4], rows[5]])
+
+
+def test_ngram_recall_on_real_text(spark):
+    """Pairs of documents that reach the threshold, found by comparing all texts that share an n-gram."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect()]
+    sets, holders = {}, defaultdict(list)
+    for d, t in rows:
+        g = ngramjoin.shingles(t)
+        if len(g):
+            sets.setdefault(g.tobytes(), (d, g))
+    for d, g in sets.values():
+        for x in g.tolist():
+            holders[x].append(d)
+    own = {d: g for d, g in sets.values()}
+    pairs = Counter((a, b) for v in holders.values() if len(v) > 1 for i, a in enumerate(v) for b in v[:i])
+    true = [(a, b) for (a, b), n in pairs.items() if n >= 0.4 * (len(own[a]) + len(own[b])) and ngramjoin.jaccard(own[a], own[b]) >= ngramjoin.THRESHOLD - 1e-9]
+    got = {r.doc_id: r.class_id for r in queries.op2_ngram_jaccard_join(spark, "/root/testdata/sf0.1").collect()}
+    assert len(true) > 50 and sum(got[a] == got[b] for a, b in true) >= 0.99 * len(true)
+
+
+def test_shards_against_brute(spark, frame):
+    """The law done by hand: parts by hash, a drawn matrix, both permutations by rank."""
+    seed, shards = 3, 8
+    df = spark.range(2500).select(F.when(F.col("id") % 97 == 0, None).otherwise(F.col("id") % 2000).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    keys = df.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(seed)).alias("tie"), F.xxhash64("doc_id", F.lit(seed)).alias("u"), F.xxhash64("doc_id", F.lit(seed + 1)).alias("v"))
+    rows = [tuple(r) for r in keys.withColumn("part", F.pmod(F.xxhash64("tie", F.lit(seed + 2)), F.lit(3))).collect()]
+    parts = [sorted((r for r in rows if r[5] == p), key=lambda r: (r[3], r[2])) for p in range(3)]
+    m = sharding.matrix([len(p) for p in parts], shards, seed)
+    dealt = defaultdict(list)
+    for p, row in zip(parts, m):
+        at = 0
+        for s, n in enumerate(row.tolist()):
+            dealt[s] += p[at : at + n]
+            at += n
+    want = {}
+    for s, members in dealt.items():
+        for slot, r in enumerate(sorted(members, key=lambda r: (r[4], r[2]))):
+            want[(r[0], r[1])] = (s, slot)
+    got = {(r.doc_id, r.text): (r.shard, r.slot) for r in sharding.shuffle(df, shards=shards, seed=seed).collect()}
+    assert got == want
+
+
+def test_packing_bounds_groups(spark, monkeypatch):
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "GROUP_BYTES", 2000)
+    df = docs(spark, ["same words again and again " * 10] * 60).withColumn("doc_id", F.lit(1).cast("long"))
+    got = packing.pack(df, path).collect()
+    assert len(got) == 60 and len({r.sequence_id >> 32 for r in got}) > 3
+
+
+def test_langid_end_to_end_against_brute(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    samples = langid.sample(df)
+    p = langid.Parser(samples)
+    rows = {r.doc_id: r.text for r in df.collect()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df, samples).collect()}
+    for i in sorted(rows)[:60]:
+        if not any(c.isalpha() for c in rows[i] or ""):
+            assert got[i] == ("und", 0.0)
+            continue
+        cost = sorted((c * n, k) for c, n, k in zip(langid.brute(rows[i], samples, p), p.norm.tolist(), p.langs))
+        assert got[i] == (cost[0][1], round(1 - cost[0][0] / cost[1][0], 6))
+
+
+def test_langid_sample_is_bounded(spark):
+    df = docs(spark, ["some words of a text"] * 400).withColumn("lang", F.concat(F.lit("l"), F.pmod("doc_id", F.lit(40)).cast("string")))
+    assert len(langid.sample(df, langs=7)) == 7
+    same = df.withColumns({"doc_id": F.lit(1).cast("long"), "text": F.concat("text", F.col("doc_id").cast("string")), "lang": F.lit("en")})
+    got = langid.sample(same, docs=5)
+    assert set(got) == {"en"} and len(got["en"].strip().split("\n")) == 5
+
+
+def test_folders(spark, tmp_path):
+    from tidemark.llm import common
+
+    kept_ = common.cut(spark.range(5), "t")
+    folder = kept_.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    import os
+
+    assert os.path.isdir(folder) and common.clean(spark) >= 1 and not os.path.isdir(folder)
+
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+
+        class sparkContext:  # noqa: N801
+            master = "local-cluster[3,2,1000]"
+
+            class _jsc:  # noqa: N801
+                @staticmethod
+                def sc():
+                    return type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Far)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_of_queries(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = queries.queries()[name](spark, SF), con.sql(queries.oracle_sql()[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    names = want.columns
+    assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == Counter(tuple(r[names.index(c)] for c in columns) for r in want.fetchall())
