@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,20 +49,137 @@ def shortest_separator(low: bytes, high: bytes) -> bytes:
     return low
 
 
+def dec_prefix_range(prefix: str, width: int = 20) -> tuple[int, int]:
+    """The numbers [lo, hi) whose ``dec_key`` begins with a prefix of digits: a filter that reaches the scan."""
+    lo = int(prefix.ljust(width, "0") or 0)
+    return lo, lo + 10 ** (width - len(prefix))
+
+
 def varint_length(n: int) -> int:
     return max(1, -(-n.bit_length() // 7))
 
 
+def _bytes(raw: Column) -> Column:
+    """The bytes of a binary column as an array of numbers 0 to 255."""
+    digits = F.hex(raw)
+    at = F.when(F.octet_length(raw) > 0, F.sequence(F.lit(0), F.octet_length(raw) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
+
+
+def _binary(numbers: Column) -> Column:
+    return F.unhex(F.array_join(F.transform(numbers, lambda b: F.lpad(F.hex(b), 2, "0")), ""))
+
+
+def fixed(number: Column, size: int) -> Column:
+    """``size`` little-endian bytes of a number (as unsigned)."""
+    return _binary(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.call_function("shiftrightunsigned", number.cast("long"), i * 8).bitwiseAND(F.lit(255))))
+
+
+def fixed_value(raw: Column) -> Column:
+    """The number in at most eight little-endian bytes; eight with the top bit set are negative."""
+    return F.aggregate(F.reverse(_bytes(raw)), F.lit(0).cast("long"), lambda a, b: F.call_function("shiftleft", a, F.lit(8)).bitwiseOR(b))
+
+
+def varint(number: Column) -> Column:
+    """Groups of seven bits, low ones first; all but the last byte have the top bit set. Negative numbers are unsigned."""
+    n = number.cast("long")
+    size = F.greatest(F.lit(1), F.ceil(F.length(F.ltrim(F.bin(n), F.lit("0"))) / 7).cast("int"))
+    return _binary(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.call_function("shiftrightunsigned", n, i * 7).bitwiseAND(F.lit(127)) + F.when(i < size - 1, 128).otherwise(0)))
+
+
+def varint_value(raw: Column) -> Column:
+    """The number at the start of a binary column; null if it does not end there or is longer than 64 bits."""
+    every = _bytes(raw)
+    size = F.array_position(F.transform(every, lambda b: b < 128), True).cast("int")
+    value = F.aggregate(F.reverse(F.slice(every, F.lit(1), size)), F.lit(0).cast("long"), lambda a, b: F.call_function("shiftleft", a, F.lit(7)).bitwiseOR(b.bitwiseAND(F.lit(127))))
+    return F.when((size > 0) & (size <= 10), value)
+
+
+def prefixed(raw: Column) -> Column:
+    """Bytes behind their length as a varint."""
+    return F.concat(varint(F.octet_length(raw)), raw)
+
+
+def prefixed_value(raw: Column) -> Column:
+    """The bytes of a length-prefixed field; null if it is cut short."""
+    n = varint_value(raw)
+    at = F.octet_length(varint(n))
+    return F.when(at + n <= F.octet_length(raw), F.substring(raw, at + 1, n.cast("int")))
+
+
 def escaped(raw: Column) -> Column:
-    """Printable form of bytes: hexadecimal, which every engine writes alike."""
-    return F.hex(raw)
+    """Printable form of bytes: printable ASCII as it is, all else as a backslash, ``x`` and two digits."""
+    one = lambda b: F.when((b >= 32) & (b <= 126), F.char(b)).otherwise(F.concat(F.lit("\\x"), F.lower(F.lpad(F.hex(b), 2, "0"))))
+    return F.array_join(F.transform(_bytes(raw), one), "")
+
+
+def leading_number(text: Column) -> Column:
+    """The decimal number at the start of a text, as decimal(20, 0); null if there is none or it exceeds 64 bits."""
+    digits = F.regexp_extract(text, r"^0*(\d+)", 1)
+    value = F.when((digits != "") & (F.length(digits) <= 20), F.when(F.length(digits) <= 20, digits).cast("decimal(20,0)"))
+    return F.when(value <= F.lit(Decimal(2**64 - 1)), value)
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0x82F63B78 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+_TABLE = _crc_table()
+_LOW = 0xFFFFFFFF
 
 
 def crc32c(data: bytes, start: int = 0) -> int:
     """CRC-32C (Castagnoli) of ``data``, extending ``start``."""
-    c = start ^ 0xFFFFFFFF
+    c = start ^ _LOW
     for b in data:
-        c ^= b
-        for _ in range(8):
-            c = c >> 1 ^ (0x82F63B78 if c & 1 else 0)
-    return c ^ 0xFFFFFFFF
+        c = c >> 8 ^ _TABLE[(c ^ b) & 255]
+    return c ^ _LOW
+
+
+def crc32c_of(raw: Column) -> Column:
+    """CRC-32C of a binary column, as a long."""
+    table = F.array(*[F.lit(x).cast("long") for x in _TABLE])
+    step = lambda c, b: F.shiftright(c, 8).bitwiseXOR(F.element_at(table, c.bitwiseXOR(b).bitwiseAND(F.lit(255)).cast("int") + 1))
+    return F.aggregate(_bytes(raw), F.lit(_LOW).cast("long"), step, lambda c: c.bitwiseXOR(F.lit(_LOW)))
+
+
+#: Added to a checksum that is stored beside what it covers.
+MASK = 0xA282EAD8
+
+
+def crc_masked(crc: Column) -> Column:
+    turned = F.shiftright(crc, 15).bitwiseOR(F.shiftleft(crc, 17)).bitwiseAND(F.lit(_LOW))
+    return (turned + MASK).bitwiseAND(F.lit(_LOW))
+
+
+def crc_unmasked(masked: Column) -> Column:
+    turned = (masked - MASK).bitwiseAND(F.lit(_LOW))
+    return F.shiftright(turned, 17).bitwiseOR(F.shiftleft(turned, 15)).bitwiseAND(F.lit(_LOW))
+
+
+#: Multiplier of the 32-bit hash, a fixed value of the format.
+MULTIPLIER = 0xC6A4A793
+
+
+def hash32(raw: Column, seed: int = 0) -> Column:
+    """The 32-bit multiplicative hash of a binary column (as a long): little-endian words are added and mixed; of the rest
+    each byte counts as signed."""
+    low = lambda x: x.bitwiseAND(F.lit(_LOW))
+    # 32 by 32 bits in two halves, so that no product exceeds 63 bits
+    times = lambda x: low(x.bitwiseAND(F.lit(0xFFFF)) * MULTIPLIER + F.shiftleft((F.shiftright(x, 16) * MULTIPLIER).bitwiseAND(F.lit(0xFFFF)), 16))
+    mixed = lambda x, by: x.bitwiseXOR(F.shiftright(x, by))
+    every, size = _bytes(raw), F.octet_length(raw)
+    words = F.floor(size / 4).cast("int")
+    at = F.when(words > 0, F.sequence(F.lit(0), words - 1)).otherwise(F.array().cast("array<int>"))
+    word = lambda i: F.aggregate(F.reverse(F.slice(every, i * 4 + 1, F.lit(4))), F.lit(0).cast("long"), lambda a, b: a * 256 + b)
+    start = low(F.lit(seed).cast("long").bitwiseXOR(times(size.cast("long"))))
+    body = F.aggregate(F.transform(at, word), start, lambda h, w: mixed(times(low(h + w)), 16))
+    rest = F.slice(every, words * 4 + 1, F.lit(3))
+    signed = F.transform(rest, lambda b, i: F.when(b > 127, b - 256).otherwise(b) * F.element_at(F.array(F.lit(1), F.lit(256), F.lit(65536)), i + 1))
+    added = F.aggregate(signed, body, lambda h, x: h + x)
+    return F.when(size % 4 == 0, body).otherwise(mixed(times(low(added)), 24))

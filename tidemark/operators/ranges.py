@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.operators.scan import _placed
+
 LEVELS = 6
 #: Bytes that level 1 may hold; each deeper level ten times more.
 LEVEL_BYTES = 256 << 20
@@ -65,16 +67,55 @@ def next_level_overlap(files: DataFrame) -> DataFrame:
     return low.join(files.alias("b"), on, "left").groupBy("a.level", "a.number").agg(F.coalesce(F.sum("b.size"), F.lit(0)).cast("long").alias("bytes"))
 
 
+def max_next_level_overlap(files: DataFrame) -> DataFrame:
+    """One row: the most bytes of the next level that a file of levels 1 and deeper overlaps (0 without files)."""
+    return next_level_overlap(files).agg(F.coalesce(F.max("bytes"), F.lit(0)).cast("long").alias("bytes"))
+
+
+#: Ranges that may be broadcast; more are cut into cells that keys and ranges share.
+RANGES = 10_000
+
+
 def approximate_sizes(entries: DataFrame, ranges: DataFrame, key: str = "k", size: str = "bytes") -> DataFrame:
     """Exact bytes of entries in each range [start, limit) (columns range_id, start, limit); 0 for empty ranges.
 
-    The few ranges asked for are the broadcast side of a range join; entries are summed map-side."""
-    on = (F.col(key) >= F.col("start")) & (F.col(key) < F.col("limit"))
-    found = entries.join(F.broadcast(ranges), on).groupBy("range_id").agg(F.sum(size).cast("long").alias("bytes"))
+    Entries are summed per key first. Up to ``RANGES`` ranges are broadcast; with more, the bytes below every key and every
+    bound are running sums over range partitions, and a range's size is the difference of two, so that no join grows."""
+    if ranges.limit(RANGES + 1).count() <= RANGES:
+        on = (F.col(key) >= F.col("start")) & (F.col(key) < F.col("limit"))
+        found = entries.join(F.broadcast(ranges), on).groupBy("range_id").agg(F.sum(size).cast("long").alias("bytes"))
+    else:
+        found = _by_prefix_sums(entries, ranges, key, size)
     return ranges.select("range_id").join(found, "range_id", "left").select("range_id", F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes"))
 
 
-def trivial_moves(files: DataFrame, level: int) -> DataFrame:
-    """Files of a level that overlap none of the next: they may move down by a change of the manifest alone."""
-    a, b = files.where(F.col("level") == level).alias("a"), files.where(F.col("level") == level + 1).alias("b")
-    return a.join(b, (F.col("b.smallest") <= F.col("a.largest")) & (F.col("b.largest") >= F.col("a.smallest")), "left_anti")
+def _by_prefix_sums(entries: DataFrame, ranges: DataFrame, key: str, size: str) -> DataFrame:
+    sums = entries.groupBy(F.col(key).alias("k")).agg(F.sum(size).alias("n"))
+    edges = ranges.where("start < limit")
+    marks = edges.select(F.col("start").alias("k"), "range_id", F.lit(-1).alias("sign")).union(edges.select("limit", "range_id", F.lit(1)))
+    both = marks.withColumn("n", F.lit(0).cast("long")).unionByName(sums.select("k", "n"), allowMissingColumns=True)
+    placed = _placed(both, F.col("k").asc(), F.col("sign").asc_nulls_last())  # a bound before a key that equals it
+    part = F.shiftright("__id", 33).cast("int")
+    totals = {r.p: r.n for r in placed.groupBy(part.alias("p")).agg(F.sum("n").alias("n")).collect()}
+    before, at = [], 0
+    for p in range(max(totals, default=0) + 1):
+        before.append(at)
+        at += totals.get(p, 0)
+    run = F.sum("n").over(W.partitionBy("p").orderBy("__id").rowsBetween(W.unboundedPreceding, 0))
+    below = placed.withColumn("p", part).withColumn("below", run + F.from_json(F.lit(str(before)), "array<bigint>")[F.col("p")])
+    return below.where("sign is not null").groupBy("range_id").agg(F.sum(F.col("sign") * F.col("below")).cast("long").alias("bytes"))
+
+
+def trivial_moves(files: DataFrame, level: int, grandparents: int = 10) -> DataFrame:
+    """Files of a level that overlap none of the next, and at most ``grandparents`` of the one below it: they may move down by
+    a change of the manifest alone."""
+    touch = lambda x, y: (F.col(f"{y}.smallest") <= F.col(f"{x}.largest")) & (F.col(f"{y}.largest") >= F.col(f"{x}.smallest"))
+    at = lambda n, name: files.where(F.col("level") == n).alias(name)
+    free = at(level, "a").join(at(level + 1, "b"), touch("a", "b"), "left_anti").alias("a")
+    many = free.join(at(level + 2, "c"), touch("a", "c")).groupBy("a.number").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > grandparents)
+    return free.join(many, "number", "left_anti")
+
+
+def joint_bounds(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Least and largest key of two sets of files."""
+    return a.select("smallest", "largest").union(b.select("smallest", "largest")).agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest"))

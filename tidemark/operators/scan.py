@@ -56,18 +56,57 @@ class View:
         return self.rows(F.col(self.key) < key).orderBy(F.col(self.key).desc()).limit(1)
 
     def seek_many(self, targets: DataFrame, target: str = "target") -> DataFrame:
-        """Per target the first visible key at or after it (null if none).
-
-        Keys are cut into ranges by rank-free buckets: each bucket knows its least key and the least key of all later
-        buckets, so a target needs only its own bucket. Integer keys."""
-        keys = self.rows().select(F.col(self.key).alias("__k"))
-        width = 1024
-        bucket = lambda c: F.floor(F.col(c) / width)
-        inside = targets.withColumn("__b", bucket(target)).join(keys.withColumn("__b", bucket("__k")), "__b", "left")
-        own = inside.groupBy(target).agg(F.min(F.when(F.col("__k") >= F.col(target), F.col("__k"))).alias("__own"), F.first("__b").alias("__b"))
-        least = keys.groupBy(bucket("__k").alias("__b")).agg(F.min("__k").alias("__least"))
-        ranked = own.select("__b").distinct().join(least, "__b", "full").withColumn("__later", F.min("__least").over(W.orderBy("__b").rowsBetween(1, W.unboundedFollowing)))
-        return own.join(ranked.select("__b", "__later"), "__b").select(target, F.coalesce("__own", "__later").alias("found"))
+        """Per target the first visible key at or after it (null if none), for keys of any type that has an order."""
+        least = targets.agg(F.min(target)).first()[0]
+        keys = self.rows(None if least is None else F.col(self.key) >= F.lit(least)).select(F.col(self.key).alias("key"))
+        return next_keys(keys, "key", targets, target)
+
+
+#: Range partitions of ``ranked`` and ``next_keys``: bounds what the driver sees, a count or key each.
+PLACES = 4096
+_IN_PART = (1 << 33) - 1
+
+
+def _placed(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` range-partitioned and sorted, with ``__id``: its partition in the upper bits, its place there in the lower 33.
+
+    It is kept, since a second run of the same plan may draw other bounds; lost blocks are made again from the same ones."""
+    parts = min(PLACES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).persist()
+
+
+def ranked(df: DataFrame, key: str, base: int = 1, name: str = "rn", desc: bool = False) -> DataFrame:
+    """``df`` with its place in order of a unique column, from ``base``: places in range partitions, shifted by the number of
+    rows before each. One shuffle, and no task holds more than its range."""
+    order = F.col(key).desc() if desc else F.col(key).asc()
+    placed = _placed(df, order)
+    part = F.shiftright("__id", 33)
+    counts = {r.p: r.n for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    shifts, at = [], base
+    for p in range(max(counts, default=0) + 1):
+        shifts.append(at)
+        at += counts.get(p, 0)
+    shift = F.from_json(F.lit(str(shifts)), "array<bigint>")[part.cast("int")]
+    return placed.withColumn(name, F.col("__id").bitwiseAND(F.lit(_IN_PART)) + shift).drop("__id")
+
+
+def next_keys(keys: DataFrame, key: str, targets: DataFrame, target: str = "target") -> DataFrame:
+    """Per target the least key at or after it (null if none): keys and targets are ranged and sorted together; in a range
+    the next key is a running minimum from its end, and behind its last key comes the first key of a later range."""
+    both = keys.select(F.col(key).alias("k"), F.lit(False).alias("asked")).unionByName(targets.select(F.col(target).alias("k"), F.lit(True).alias("asked")).distinct())
+    placed = _placed(both, F.col("k").asc(), F.col("asked").desc())  # a target before a key that equals it
+    part = F.shiftright("__id", 33)
+    firsts = {r.p: r.k for r in placed.where("not asked").groupBy(part.alias("p")).agg(F.min("k").alias("k")).collect()}
+    later, following = [], None
+    for p in range(max([-1, *firsts]), -1, -1):
+        later.append((p, following))
+        following = firsts.get(p, following)
+    # parts behind the last key have no key after them, those before the first all have its first
+    kind = both.schema["k"].dataType
+    table = F.array(*[F.lit(x).cast(kind) for _, x in reversed(later)], F.lit(None).cast(kind))
+    back = W.partitionBy("__p").orderBy(F.desc("__id")).rowsBetween(W.unboundedPreceding, 0)
+    seen = placed.withColumn("__p", part.cast("int")).withColumn("own", F.min(F.when(~F.col("asked"), F.col("k"))).over(back))
+    return seen.where("asked").select(F.col("k").alias(target), F.coalesce("own", F.get(table, F.col("__p"))).alias("found"))
 
 
 def cursor(view: View, columns: Sequence[str] = (), page: int = 1000) -> Cursor:

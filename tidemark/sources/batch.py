@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tidemark.functions.keys import varint_length
+from tidemark.operators.scan import ranked
 from tidemark.sources.errors import Corruption
 
 OPLOG = "k binary, seq bigint, kind tinyint, v binary"
@@ -54,31 +54,37 @@ class WriteBatch:
 
 
 def sequenced(df: DataFrame, base: int, order: str) -> DataFrame:
-    """Rows of a large batch with ``seq`` from ``base`` in order of a unique column: ranks are counted per range partition
-    and shifted by the counts before it, so no task sorts everything."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = sorted({r for r in df.approxQuantile(order, [i / n for i in range(1, n)], 0.01)}) if n > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(order))) if edges else F.lit(0)
-    dealt = df.withColumn("__part", part)
-    counts = {r["__part"]: r["n"] for r in dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shift, at = [], base - 1
-    for p in range(len(edges) + 1):
-        shift.append(at)
-        at += counts.get(p, 0)
-    rank = F.row_number().over(W.partitionBy("__part").orderBy(order))
-    return dealt.withColumn("seq", (rank + F.array(*[F.lit(s) for s in shift])[F.col("__part")]).cast("long")).drop("__part")
+    """Rows of a large batch with ``seq`` from ``base`` in order of a unique column of any type that has an order."""
+    return ranked(df, order, base, "seq")
+
+
+BROKEN = "rows with a null key, an impossible sequence number or kind, or a put without a value"
+
+
+def _bad() -> Column:
+    return F.col("k").isNull() | F.col("seq").isNull() | ~F.col("seq").between(0, MAX_SEQ) | F.col("kind").isNull() | ~F.col("kind").isin(0, 1) | ((F.col("kind") == 1) & F.col("v").isNull())
 
 
 def validate(oplog: DataFrame) -> DataFrame:
-    """The rows, or ``Corruption`` if any breaks the rules of an operation log."""
-    bad = oplog.where(F.col("k").isNull() | F.col("seq").isNull() | ~F.col("seq").between(0, MAX_SEQ) | F.col("kind").isNull() | ~F.col("kind").isin(0, 1) | ((F.col("kind") == 1) & F.col("v").isNull()))
-    if not bad.isEmpty():
-        raise Corruption("rows with a null key, an impossible sequence number or kind, or a put without a value")
+    """The rows, or ``Corruption`` if any breaks the rules of an operation log: reads them all."""
+    if not oplog.where(_bad()).isEmpty():
+        raise Corruption(BROKEN)
     return oplog
 
 
+def checked(oplog: DataFrame) -> DataFrame:
+    """The rows; whoever reads them fails at the first that breaks the rules, so that no pass of its own is needed."""
+    sound = F.when(_bad(), F.raise_error(F.lit(BROKEN)).cast("tinyint")).otherwise(F.col("kind").cast("tinyint"))
+    return oplog.withColumn("kind", sound)
+
+
 def dump(oplog: DataFrame) -> DataFrame:
     """One printable line per entry, and its place in internal order."""
     line = F.format_string("%s @ %d : %s => %s", F.hex("k"), "seq", F.when(F.col("kind") == 1, "put").otherwise("del"), F.coalesce(F.hex("v"), F.lit("")))
     return oplog.select("k", "seq", "kind", line.alias("line")).orderBy("k", F.col("seq").desc(), F.col("kind").desc()).select("line")
+
+
+def dump_files(files: DataFrame) -> DataFrame:
+    """One printable line per live file of a manifest (``OrderedStore.files``), in order of level and number."""
+    line = F.format_string("level %d : %d : %d bytes : %d entries : %s .. %s : seq %d .. %d", "level", "number", "size", "num_entries", F.hex("smallest"), F.hex("largest"), "min_seq", "max_seq")
+    return files.select("level", "number", line.alias("line")).orderBy("level", "number").select("line")

@@ -13,5 +13,9 @@ class InvalidArgument(StoreError):
     pass
 
 
+class Conflict(InvalidArgument):
+    """Another writer has committed first."""
+
+
 class NotSupported(StoreError):
     pass
