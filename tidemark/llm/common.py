@@ -56,20 +56,23 @@ def _delete(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Spark then deletes the shuffle files of a job when it ends; the table that it wrote has taken their place.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: Spark deletes the shuffle files of the job when it ends, since the table takes their place, and
+#: keeps no more than this of its plan's text, in which lists of constants would fill the driver's memory.
+_WHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "50000"}
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later stages start from durable files."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+    before = {k: spark.conf.get(k) for k in _WHILE}
     try:
+        for k, v in _WHILE.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -98,7 +101,7 @@ def held(key: tuple, make: Callable[[], T]) -> T:
     return _HELD[key]
 
 
-def wanted(of: DataFrame, value: str, most: int = 1 << 20) -> Column:
+def wanted(of: DataFrame, value: str, most: int = 1 << 19) -> Column:
     """A map-side filter on the column ``value``: values in ``of`` always pass, others seldom while ``of`` is small against
     ``most`` bits, which bounds the filter (it then passes more, and the join behind it does the work)."""
     words = most // 64
