@@ -743,6 +743,7 @@ def test_langid_sample_is_bounded(spark):
 
 def test_folders(spark, tmp_path):
     from tidemark.llm import common
+    from tidemark.sources import shared
 
     kept_ = common.cut(spark.range(5), "t")
     folder = kept_.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
@@ -762,7 +763,7 @@ def test_folders(spark, tmp_path):
                     return type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))})
 
     with pytest.raises(ValueError, match="checkpoint"):
-        common.shared_dir(Far)
+        shared.shared_dir(Far)
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources import shared
+
 T = TypeVar("T")
 #: Rows of one Arrow batch handed to Python; with the longest texts a batch stays in tens of MB.
 ARROW_ROWS = 256
@@ -23,26 +22,11 @@ def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session (tests) may leave it unset; it then gets
-    a folder of its own, while a cluster raises, since its executors would each write to their own disk."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else None
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 _MADE: list[str] = []
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    _MADE.append(f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}")
+    _MADE.append(shared.new_folder(spark, name))
     return _MADE[-1]
 
 
