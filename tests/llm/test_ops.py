@@ -53,6 +53,24 @@ def test_ogg_damage():
     assert ogg.unmux(b"junk" + ogg.mux(bytes(64)))["payload"] == bytes(64)
 
 
+def test_ogg_packet_times(spark, frame, empty):
+    for size, packet in ((64, 255), (100_000, 700), (300_000, 70_000)):
+        rows = ogg.packet_rows(ogg.mux(random.Random(size).randbytes(size), packet=packet))
+        for channel in (0, 1):
+            own, at = [r for r in rows if r["channel"] == channel], 0
+            assert sum(r["bytes"] for r in own) == size // 2
+            for r in own:
+                assert (r["start_us"], r["end_us"]) == (at * 1_000_000 // ogg.RATE, (at + r["bytes"]) * 1_000_000 // ogg.RATE)
+                at += r["bytes"]
+    raw = bytearray(ogg.mux(bytes(range(256)) * 2000, packet=300))
+    raw[len(raw) // 2] ^= 1  # a page is lost: times after it still hold
+    assert max(r["end_us"] for r in ogg.packet_rows(bytes(raw))) == 256_000 * 1_000_000 // ogg.RATE
+    media = ogg.encode(frame)
+    got = ogg.packet_times(media).groupBy("doc_id").agg(F.sum("bytes").alias("n")).collect()
+    want = {r.doc_id: r.n for r in ogg.decode(media).groupBy("doc_id").agg(F.sum(F.octet_length("payload")).alias("n")).collect()}
+    assert {r.doc_id: r.n for r in got} == want and ogg.packet_times(ogg.encode(empty)).count() == 0
+
+
 def test_ogg_rows(frame, empty, awkward):
     got = [tuple(r) for r in ogg.digests(ogg.decode(ogg.encode(frame))).collect()]
     want = Counter((r[0], *ogg.brute(r[1])) for r in awkward)

@@ -130,6 +130,46 @@ def demux(pages: list[tuple]) -> dict[int, list[tuple[bytes, int]]]:
     return streams
 
 
+def timed(packets: list[tuple[bytes, int]], rate: int) -> list[tuple[int, int]]:
+    """(start, end) in microseconds of a stream's data packets, one sample a byte: a packet whose page states its granule
+    position ends there; the others' ends follow from the next known one, less the samples between, or from the one before."""
+    ends = [g for _, g in packets]
+    for i in range(len(ends) - 2, -1, -1):
+        if ends[i] < 0 <= ends[i + 1]:
+            ends[i] = max(ends[i + 1] - len(packets[i + 1][0]), 0)
+    for i in range(len(ends)):
+        if ends[i] < 0:
+            ends[i] = (ends[i - 1] if i else 0) + len(packets[i][0])
+    us = lambda n: n * 1_000_000 // rate if rate else 0
+    return [(us(max(e - len(p), 0)), us(e)) for e, (p, _) in zip(ends, packets)]
+
+
+def packet_rows(data: bytes | None) -> list[dict]:
+    """The data packets of a file made by ``mux``, in order of stream and time."""
+    out = []
+    for serial, got in sorted(demux(read_pages(data)[0]).items()) if data else []:
+        if not got or len(got[0][0]) != _IDENT.size or not got[0][0].startswith(_MAGIC):
+            continue
+        _, channel, _, rate = _IDENT.unpack(got[0][0])
+        for k, ((start, end), (body, _)) in enumerate(zip(timed(got[1:], rate), got[1:])):
+            out.append({"serial": serial, "channel": channel, "packet": k, "bytes": len(body), "start_us": start, "end_us": end})
+    return out
+
+
+def packet_times(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """One row per data packet of the media column: doc_id, serial, channel, packet (from 0), bytes, start_us, end_us."""
+    fields = ["serial", "channel", "packet", "bytes", "start_us", "end_us"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, media in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows := [{"doc_id": doc, **r} for r in packet_rows(media)]:
+                    yield pa.RecordBatch.from_pylist(rows, pa.schema([(c, pa.int64()) for c in ("doc_id", *fields)]))
+
+    own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media"))
+    return own.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *fields)))
+
+
 def unmux(data: bytes | None) -> dict:
     """Payload and description of a file made by ``mux``, from its bytes alone."""
     if not data:
