@@ -34,13 +34,19 @@ def rates(spark: SparkSession, folder: str) -> dict[str, float]:
     n = F.col("id")
     # an odd multiplier modulo a power of two visits every number once, in a scattered order
     slots = 1 << (ROWS - 1).bit_length()
-    key = be64_key(F.pmod(n * 2654435761, F.lit(slots)))
-    log = spark.range(ROWS).select(key.alias("k"), (n + 1).alias("seq"), F.lit(1).cast("tinyint").alias("kind"), F.unhex(F.lpad(F.hex(n), 32, "0")).alias("v"))
+    key = lambda i: be64_key(F.pmod(i * 1_000_003, F.lit(slots)))
+    log = spark.range(ROWS).select(key(n).alias("k"), (n + 1).alias("seq"), F.lit(1).cast("tinyint").alias("kind"), F.unhex(F.lpad(F.hex(n), 32, "0")).alias("v"))
+    out = {"rows": ROWS}
+    loose = OrderedStore.open(spark, f"{folder}/loose")
+    out["bulk_append_rows_per_sec"] = ROWS / timed(lambda: loose.ingest(log, ranged=False))
+    OrderedStore.destroy(spark, loose.path)
     store = OrderedStore.open(spark, f"{folder}/store")
-    out = {"rows": ROWS, "append_rows_per_sec": ROWS / timed(lambda: store.ingest(log))}
-    probes = spark.range(GETS).select(be64_key(F.pmod(n * 48271 * 2654435761, F.lit(slots))).alias("k")).distinct()
+    out["ranged_append_rows_per_sec"] = ROWS / timed(lambda: store.ingest(log))
     out["scan_rows_per_sec"] = ROWS / timed(lambda: noop(store.oplog().select("k", "v")))
-    out["view_rows_per_sec"] = ROWS / timed(lambda: noop(store.view().rows()))
+    out["collapsed_view_rows_per_sec"] = ROWS / timed(lambda: noop(store.view().rows()))
+    out["compaction_rows_per_sec"] = ROWS / timed(store.compact)
+    out["compacted_view_rows_per_sec"] = ROWS / timed(lambda: noop(store.view().rows()))
+    probes = spark.range(GETS).select(key(F.pmod(n * 48271, F.lit(ROWS))).alias("k"))
     out["multi_get_keys_per_sec"] = GETS / timed(lambda: noop(store.view().multi_get(probes)))
     one = bytes(store.oplog().select("k").first()[0])
     out["single_get_seconds"] = timed(lambda: store.get(one))

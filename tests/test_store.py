@@ -363,3 +363,21 @@ def test_routes_by_table(spark):
     table = spark.createDataFrame([(7, b"a", b"c"), (8, b"c", b"d"), (9, b"x", b"y")], "shard_id long, lower binary, upper binary")
     df = spark.createDataFrame([(bytearray(k),) for k in (b"", b"a", b"bz", b"c", b"d", b"x", b"y")], "k binary")
     assert {bytes(r.k): r.shard_id for r in shards.route_by(df, "k", table).collect()} == {b"": None, b"a": 7, b"bz": 7, b"c": 8, b"d": None, b"x": 9, b"y": None}
+
+
+def test_settled_files_are_read_without_a_shuffle(spark, store):
+    log = spark.range(500).select(F.encode(F.format_string("k%04d", F.col("id") % 300), "UTF-8").alias("k"), (F.col("id") + 1).alias("seq"), F.when(F.col("id") % 7 == 0, 0).otherwise(1).cast("tinyint").alias("kind"), F.encode(F.col("id").cast("string"), "UTF-8").alias("v"))
+    store.ingest(log, ranged=False)
+    before = rows(store.scan())
+    assert len(before) > 200
+    store.compact()
+    plan = lambda v: v.rows()._jdf.queryExecution().executedPlan().toString()
+    assert rows(store.scan()) == before and "parquet" in plan(store.view()) and plan(store.view()).count("Scan parquet") == 1
+    store.put(b"k0010", b"new")
+    assert store.get(b"k0010") == b"new" and rows(store.scan()) == sorted({**dict(before), b"k0010": b"new"}.items())
+    name = store.snapshot()
+    store.delete(b"k0010")
+    store.compact()
+    assert store.get(b"k0010") is None and store.get(b"k0010", store.seq_of(name)) == b"new"
+    f = lambda n, a, b: {"number": n, "smallest": a, "largest": b}
+    assert [x["number"] for x in compaction.alone([f(1, "A", "C"), f(2, "B", "B"), f(3, "D", "E"), f(4, "E", "F"), f(5, "G", "G")])] == [5]

@@ -12,20 +12,28 @@ from tidemark.operators.collapse import collapse
 
 
 class View:
-    """The visible state of an operation log at a snapshot. Every read pushes its key filter below the collapse."""
+    """The visible state of an operation log at a snapshot. Every read pushes its key filter below the collapse.
 
-    def __init__(self, oplog: DataFrame, key: str = "k", snapshot: int | None = None, seq: str = "seq", kind: str = "kind", fold: Callable = collapse) -> None:
-        self.oplog, self.key, self.snapshot, self.seq, self.kind, self.fold = oplog, key, snapshot, seq, kind, fold
+    ``settled``: further rows of which each is the only one of its key, and none newer than the snapshot; they need no
+    collapse, and so no shuffle."""
+
+    def __init__(self, oplog: DataFrame, key: str = "k", snapshot: int | None = None, seq: str = "seq", kind: str = "kind", fold: Callable = collapse, settled: DataFrame | None = None) -> None:
+        self.oplog, self.key, self.snapshot, self.seq, self.kind, self.fold, self.settled = oplog, key, snapshot, seq, kind, fold, settled
+
+    def _visible(self, narrow: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        folded = self.fold(narrow(self.oplog), self.key, self.snapshot, self.seq, self.kind)
+        return folded if self.settled is None else folded.unionByName(narrow(self.settled).where(F.col(self.kind) == 1))
 
     def rows(self, where: Column | None = None) -> DataFrame:
-        return self.fold(self.oplog if where is None else self.oplog.where(where), self.key, self.snapshot, self.seq, self.kind)
+        return self._visible(lambda rows: rows if where is None else rows.where(where))
 
     def get(self, key) -> DataFrame:
         return self.rows(F.col(self.key) == key)
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
         """Visible rows of a key set (column of the same name): a semi-join before the collapse."""
-        return self.fold(self.oplog.join(keys.select(self.key).distinct(), self.key, "left_semi"), self.key, self.snapshot, self.seq, self.kind)
+        asked = keys.select(self.key).distinct()
+        return self._visible(lambda rows: rows.join(asked, self.key, "left_semi").select(*rows.columns))
 
     def scan(self, reverse: bool = False) -> DataFrame:
         return self.rows().orderBy(F.col(self.key).desc() if reverse else F.col(self.key))

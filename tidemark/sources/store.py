@@ -236,14 +236,15 @@ class OrderedStore:
     def delete(self, key: bytes) -> None:
         self.write(WriteBatch().delete(key))
 
-    def ingest(self, oplog: DataFrame, batch_id: str | None = None, strict: bool = True) -> bool:
-        """Append rows that bring their own sequence numbers (bulk load, streams), range-partitioned by key.
+    def ingest(self, oplog: DataFrame, batch_id: str | None = None, strict: bool = True, ranged: bool = True) -> bool:
+        """Append rows that bring their own sequence numbers (bulk load, streams), range-partitioned by key; without
+        ``ranged`` each task sorts and writes what it has: no shuffle, but files that overlap until they are compacted.
 
         A batch that was committed before is skipped, so a replayed micro-batch changes nothing. Batches of a stream are
         named ``name-number``, and the last number of each name is kept. Rows are checked while they are written."""
         if batch_id is not None and self.state.seen(batch_id):
             return False
-        found = self._write(checked(oplog) if strict else oplog, ranged=True)
+        found = self._write(checked(oplog) if strict else oplog, ranged)
         if not found:
             return False
 
@@ -256,20 +257,31 @@ class OrderedStore:
 
     # -- reads
 
+    def _live(self, lo: bytes | None = None, hi: bytes | None = None) -> list[dict]:
+        return [f for f in self.state.files if self.normaliser or ((hi is None or f["smallest"] <= hi.hex().upper()) and (lo is None or f["largest"] >= lo.hex().upper()))]
+
+    def _rows(self, files: list[dict]) -> DataFrame:
+        if not files:
+            return self.spark.createDataFrame([], OPLOG)
+        return self.spark.read.schema(OPLOG).parquet(*[f["path"] for f in files])
+
     def oplog(self, lo: bytes | None = None, hi: bytes | None = None) -> DataFrame:
         """All entries of the live files; files outside [lo, hi] are not opened."""
-        live = [f["path"] for f in self.state.files if self.normaliser or ((hi is None or f["smallest"] <= hi.hex().upper()) and (lo is None or f["largest"] >= lo.hex().upper()))]
-        if not live:
-            return self.spark.createDataFrame([], OPLOG)
-        return self.spark.read.schema(OPLOG).parquet(*live)
+        return self._rows(self._live(lo, hi))
+
+    def _view(self, files: list[dict], snapshot: int | None) -> View:
+        """Files that hold one version a key, none after the snapshot, and that no other file overlaps, need no collapse."""
+        seq = self.state.last_seq if snapshot is None else snapshot
+        if self.normaliser is not None:
+            return View(self._rows(files).withColumn("nk", self.normaliser(F.col("k"))), "nk", seq)
+        alone = compaction.alone(files)
+        settled = [f for f in alone if f.get("single") and f["max_seq"] <= seq]
+        numbers = {f["number"] for f in settled}
+        return View(self._rows([f for f in files if f["number"] not in numbers]), "k", seq, settled=self._rows(settled) if settled else None)
 
     def view(self, snapshot: int | None = None, lo: bytes | None = None, hi: bytes | None = None) -> View:
         """The state at a snapshot, now by default: later commits don't change it."""
-        seq = self.state.last_seq if snapshot is None else snapshot
-        rows = self.oplog(lo, hi)
-        if self.normaliser is None:
-            return View(rows, "k", seq)
-        return View(rows.withColumn("nk", self.normaliser(F.col("k"))), "nk", seq)
+        return self._view(self._live(lo, hi), snapshot)
 
     def get(self, key: bytes, snapshot: int | None = None) -> bytes | None:
         if self.normaliser is None:
@@ -332,6 +344,8 @@ class OrderedStore:
         limits = [(bytes.fromhex(f["smallest"]), bytes.fromhex(f["largest"])) for f in deeper]
         kept = without_tombstones(retained(rows, key, self.oldest()), self.oldest(), limits or None, key)
         found = self._write(kept, ranged=True)
+        if not self.state.snapshots and self.normaliser is None:
+            found = [{**f, "single": True} for f in found]  # only the newest version of each key is left
         gone = {f["number"] for f in chosen}
 
         def change(m: Manifest) -> None:
@@ -485,9 +499,7 @@ class ShardedStore(OrderedStore):
 
     def shard_view(self, shard: int, snapshot: int | None = None) -> View:
         """The state of one shard, from its own files."""
-        seq = self.state.last_seq if snapshot is None else snapshot
-        paths = [f["path"] for f in self._of(shard)]
-        return View(self.spark.read.schema(OPLOG).parquet(*paths) if paths else self.spark.createDataFrame([], OPLOG), "k", seq)
+        return self._view(self._of(shard), snapshot)
 
     def scan_shard(self, shard: int, snapshot: int | None = None) -> DataFrame:
         return self.shard_view(shard, snapshot).scan().select("k", "v")
