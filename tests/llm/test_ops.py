@@ -729,6 +729,23 @@ def test_shards_against_brute(spark, frame):
     assert got == want
 
 
+def test_shards_of_existing_partitions(spark, frame, empty):
+    """The same law without moving rows into parts first; rows that repeat fully lie in any number of parts."""
+    n = 5003
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 != 0, F.col("id").cast("string")).alias("text"), F.lit("x").alias("at"), F.lit(1).alias("part")).repartition(5)
+    got = sharding.shuffle(df, stable=False)
+    assert got.columns == [*df.columns, "shard", "slot"]
+    rows = got.collect()
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in df.collect())
+    for s in range(8):
+        own = [r for r in rows if r.shard == s]
+        assert len(own) in (n // 8, n // 8 + 1) and sorted(r.slot for r in own) == list(range(len(own)))
+        assert 150 < sum(r.doc_id == 7 and r.text is None for r in own) < 270  # its share of the copies
+    pairs = sorted((r.doc_id, r.slot) for r in rows if r.shard == 0 and r.text is not None)
+    assert abs(np.corrcoef([a for a, _ in pairs], [b for _, b in pairs])[0, 1]) < 0.15
+    assert sharding.shuffle(frame, stable=False).count() == 17 and sharding.shuffle(empty, stable=False).count() == 0
+
+
 def test_packing_bounds_groups(spark, monkeypatch):
     path = queries.tokenizer_path("word_bpe_49k.json")
     monkeypatch.setattr(packing, "GROUP_BYTES", 2000)

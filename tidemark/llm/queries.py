@@ -28,7 +28,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.digests(sharding.shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8))
+    return sharding.digests(sharding.shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8, stable=False))
 
 
 def op4_unigram_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
