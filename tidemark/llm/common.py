@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from tidemark.sources import shared
 
 T = TypeVar("T")
-#: Rows of one Arrow batch handed to Python; with the longest texts a batch stays in tens of MB.
+#: Rows of one Arrow batch handed to Python; bytes bound it too.
 ARROW_ROWS = 256
 
 
 def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound the Arrow batches of later Python stages by rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 _MADE: list[str] = []
