@@ -396,6 +396,26 @@ def test_lines_in_groups_against_brute(spark, monkeypatch, leaders, salted):
     assert got == {i: applied(t, i, gone) for i, t in rows}
 
 
+@pytest.mark.parametrize("sample", [1, 8, 1 << 40])
+def test_lines_whatever_the_sample(spark, monkeypatch, sample):
+    """The order of tokens comes from a sample of the texts; one of all, some or none of them leads to the same result."""
+    monkeypatch.setattr(linededup, "SAMPLE", sample)
+    r = random.Random(67)
+    words = [f"v{min(r.randrange(400), r.randrange(400))}" for _ in range(3000)]
+    rows = [(i, "\n".join(" ".join(r.sample(words, 12)) for _ in range(3))) for i in range(40)]
+    for i in range(40, 80):
+        line = r.choice(r.choice(rows)[1].split("\n")).split(" ")
+        line[r.randrange(len(line))] = "other"
+        rows.append((i, " ".join(line) + "\n" + " ".join(r.sample(words, 100))))
+    df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], SCHEMA)
+    texts = df.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0).select("text").collect()
+    counted = linededup.rarity(df, "text")
+    classes = df.limit(1).select(counted.alias("c")).first().c
+    assert len(classes) == linededup.BUCKETS and (max(classes) > linededup._ZERO) == bool(texts) and (sample > 1) == (len(texts) < len(rows))
+    gone = brute_lines(rows)
+    assert gone and {x.doc_id: x.text for x in linededup.dedup_lines(df).collect()} == {i: applied(t, i, gone) for i, t in rows}
+
+
 def test_lines_clashing_columns(spark):
     df = docs(spark, ["a b c d e f", "a b c d e f\nz", None]).withColumns({c: F.lit(c) for c in ("doc_id_", "th", "stay", "gone", "c0", "c1", "s", "k", "at", "__id", "__th", "__gone", "__rest")})
     got = linededup.dedup_lines(df)
