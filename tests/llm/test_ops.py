@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,6 +274,12 @@ def test_unigram_rows(spark, frame, empty, awkward, vocabulary):
     assert sptok.encode(empty, shipped).count() == 0
 
 
+def test_unigram_lists_without_arrow_objects():
+    ids = pa.array([[1, 2], None, [], [5], [7, 8, 9], None], pa.list_(pa.int32()))
+    for part in (ids, ids.slice(1, 4), ids.slice(4), ids.slice(6)):
+        assert list(sptok.lists(part)) == [x or [] for x in part.to_pylist()]
+
+
 # ---- 5 packing
 
 

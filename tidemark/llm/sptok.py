@@ -262,6 +262,13 @@ def encode(df: DataFrame, shipped: _Shipped, id_col: str = "doc_id", text_col: s
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def lists(ids: pa.ListArray) -> Iterator[list[int]]:
+    """The ids of each row, null as none, through numpy: Arrow makes an object of its own of every id."""
+    ends = np.cumsum([0, *ids.value_lengths().fill_null(0).to_pylist()]).tolist()
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    return (flat[a:b].tolist() for a, b in zip(ends, ends[1:]))
+
+
 def decode(df: DataFrame, shipped: _Shipped) -> DataFrame:
     """doc_id, ids and text: the text that the ids stand for."""
 
@@ -269,7 +276,7 @@ def decode(df: DataFrame, shipped: _Shipped) -> DataFrame:
         m = _model(shipped)
         for batch in batches:
             ids = batch.column("ids")
-            texts = [m.decode(x or []) for x in ids.to_pylist()]
+            texts = [m.decode(x) for x in lists(ids)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
