@@ -322,6 +322,18 @@ def test_packing_pieces(spark, frame, empty, awkward):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_keeps_the_chunks_learned_first(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 60)
+    c = packing.Chunks(queries.tokenizer_path("word_bpe_49k.json"))
+    learned, words = [], c._words
+    monkeypatch.setattr(c, "_words", lambda x: learned.extend(x) or words(x))
+    for k in range(30):
+        text = "the common words stay " + " ".join(f"rare{'abcdefghij'[k % 10]}{'klmnopqrst'[j]}{'uvwxyz'[k // 10]}" for j in range(10))
+        assert c.encode(text) == c._raw([text])[0]
+        assert len(c.known) <= 60 + len(text.split())
+    assert [learned.count(w) for w in ("the", "common", "words", "stay")] == [1, 1, 1, 1] and len(learned) == 304
+
+
 def test_packing_real_text(spark):
     from tokenizers import Tokenizer
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -127,8 +128,8 @@ class Chunks:
             return b"".join(map(self.known.__getitem__, parts))
         except KeyError:
             pass
-        if len(self.known) > CACHE:
-            self.known = {}
+        if len(self.known) > CACHE:  # frequent chunks are met, and so learned, before rare ones
+            self.known = dict(islice(self.known.items(), CACHE // 2))
         self._learn({p for p in parts if p not in self.known})
         return b"".join(map(self.known.__getitem__, parts))
 
