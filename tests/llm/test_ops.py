@@ -435,6 +435,23 @@ def test_lines_whatever_the_sample(spark, monkeypatch, sample):
     assert gone and {x.doc_id: x.text for x in linededup.dedup_lines(df).collect()} == {i: applied(t, i, gone) for i, t in rows}
 
 
+def test_lines_second_round_shuffles_once(spark):
+    """Both sides of round b read one shuffle; items that are done meet others, but are not asked for a match."""
+    texts = ["a b c d e f g h i j", "a b c d e f g h i k", "a b c d e f g h i l", "u v w x y"]
+    items = linededup.items_of(docs(spark, texts), "doc_id", "text", 0.8).localCheckpoint()
+    doc = {r.h: r["at"].doc_id for r in items.collect()}
+    found = linededup.rest(items.withColumn("done", F.col("at.doc_id") == 1), 0.8)
+    assert {(doc[r.a], doc[r.b]) for r in found.collect()} == {(2, 0), (2, 1)}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = linededup.rest(items.withColumn("done", F.col("at.doc_id") == 1), 0.8)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ReusedExchange" in plan
+
+
 def test_lines_clashing_columns(spark):
     df = docs(spark, ["a b c d e f", "a b c d e f\nz", None]).withColumns({c: F.lit(c) for c in ("doc_id_", "th", "stay", "gone", "c0", "c1", "s", "k", "at", "__id", "__th", "__gone", "__rest")})
     got = linededup.dedup_lines(df)
