@@ -321,6 +321,15 @@ def test_codecs(spark):
     assert {r.t: r.n and int(r.n) for r in spark.createDataFrame([(t,) for t in said], "t string").select("t", keys.leading_number(F.col("t")).alias("n")).collect()} == said
 
 
+def test_codecs_query_on_large_keys(spark, tmp_path):
+    """Fixed fields are little-endian in all four bytes, and varints have as many bytes as they need."""
+    numbers = [0, 127, 128, 65535, 65536, 65537, 149_999, 2**21 - 1, 2**21, 2**24 - 1, 2**24, 2**28, 2**31, 2**32 - 1]
+    spark.createDataFrame([(n, "F", "1-URGENT") for n in numbers], "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.n: (r.raw, r.varint) for r in catalog.queries()["codecs"](spark, str(tmp_path)).collect()}
+    varint = lambda n: bytes([n & 127 | (128 if n > 127 else 0)]) + (varint(n >> 7) if n > 127 else b"")
+    assert got == {n: (n.to_bytes(4, "little").hex().upper(), varint(n).hex().upper()) for n in numbers}
+
+
 def test_checksums_query(spark):
     d = "/root/testdata/sf0.001"
     props = {r.event_id: r.props.encode() for r in spark.read.parquet(f"{d}/events.parquet").select("event_id", "props").collect()}
