@@ -27,5 +27,10 @@ def test_scan_collapses_once(spark):
     assert got.count("InMemoryRelation") == 1 and "Window" not in got
 
 
+def test_checksum_is_made_once(spark):
+    """One fold for the checksum, that its masked form reads, and two for the hash."""
+    assert plan(catalog.queries()["checksums"](spark, SF)).count("aggregate(") == 3
+
+
 def test_every_query_but_one_has_sql():
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"checksums"}

@@ -1,6 +1,7 @@
 """The durable store: contract scenarios and a model-based random test."""
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -337,6 +338,31 @@ def test_checksums_query(spark):
         assert row.crc == keys.crc32c(props[row.event_id]) and row.hash == slow_hash(props[row.event_id])
 
 
+def test_checksums_of_long_values(spark):
+    """Time follows the size of a value: work for each byte must not begin again with the whole of it."""
+    r = random.Random(5)
+    data = [r.randbytes(n) for n in (20_000, 20_003, 40_001)]
+    b = F.col("b")
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(data)], "i int, b binary")
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = df.select("i", keys.crc32c_of(b).alias("crc"), keys.hash32(b, 7).alias("h"), keys.escaped(b).alias("e")).collect()
+    finally:
+        late.cancel()
+    for row in got:
+        x = data[row.i]
+        assert row.crc == keys.crc32c(x) and row.h == slow_hash(x, 7) and row.e == "".join(chr(c) if 32 <= c <= 126 else f"\\x{c:02x}" for c in x)
+
+
+def test_checksums_of_odd_values(spark):
+    """All sizes about a word's, signed and zero bytes; null has the checksum of no bytes and no hash."""
+    data = [bytes([b]) * n for n in range(30) for b in (0, 1, 127, 128, 255)] + [bytes([0, 255, 128][i % 3] for i in range(n)) for n in range(30)]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(data)] + [(len(data), None)], "i int, b binary")
+    for row in df.select("i", keys.crc32c_of(F.col("b")).alias("crc"), keys.hash32(F.col("b")).alias("h")).collect():
+        assert (row.crc, row.h) == ((keys.crc32c(data[row.i]), slow_hash(data[row.i])) if row.i < len(data) else (0, None))
+
+
 def test_generators(spark):
     i = F.col("id")
     got = spark.range(500).select(generate.text(i, F.col("id") % 9, 1).alias("t"), generate.key(i, 3, 1).alias("k"), generate.compressible(i, 100, 0.25, 1).alias("c"), generate.skewed(i, 10, 1).alias("s")).collect()

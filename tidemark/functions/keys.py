@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,9 +62,21 @@ def varint_length(n: int) -> int:
 
 def _bytes(raw: Column) -> Column:
     """The bytes of a binary column as an array of numbers 0 to 255."""
-    digits = F.hex(raw)
-    at = F.when(F.octet_length(raw) > 0, F.sequence(F.lit(0), F.octet_length(raw) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
+    letters = F.split(F.decode(raw, "ISO-8859-1"), "")
+    return F.transform(F.when(F.octet_length(raw) > 0, letters).otherwise(F.array().cast("array<string>")), lambda c: F.ascii(c).cast("long"))
+
+
+def _words(raw: Column, size: int) -> Column:
+    """The numbers that each ``size`` little-endian bytes of a binary column make up (seven at most); a rest is left out."""
+    back = F.encode(F.reverse(F.decode(raw, "ISO-8859-1")), "ISO-8859-1")
+
+    def of(b: Column) -> Column:
+        n = F.floor(F.octet_length(b) / size).cast("int")
+        at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.conv(F.hex(F.substring(b, F.octet_length(b) + 1 - i * size, F.lit(size))), 16, 10).cast("long"))
+
+    # an array of one binds the reversed bytes, which would otherwise be made anew for each word
+    return F.element_at(F.transform(F.array(back), of), 1)
 
 
 def _binary(numbers: Column) -> Column:
@@ -141,11 +154,46 @@ def crc32c(data: bytes, start: int = 0) -> int:
     return c ^ _LOW
 
 
+def _zeros(size: int) -> list[list[int]]:
+    """By k, what each byte becomes once it and k zeros behind it are read."""
+    out = [_TABLE]
+    while len(out) < size:
+        out.append([c >> 8 ^ _TABLE[c & 255] for c in out[-1]])
+    return out
+
+
+def _starts(size: int) -> list[int]:
+    """By k, the state from which k zeros lead to that at the start."""
+    at, out = {c >> 24: i for i, c in enumerate(_TABLE)}, [_LOW]
+    while len(out) < size:
+        i = at[out[-1] >> 24]
+        out.append((out[-1] ^ _TABLE[i]) << 8 & _LOW | i)
+    return out
+
+
+#: Bytes that the checksum takes at a time: as many as fit a long.
+_TAKEN = 7
+_AHEAD, _START = _zeros(_TAKEN), _starts(_TAKEN)
+
+
+def _longs(numbers: list[int]) -> Column:
+    """An array made of one literal: one for each number takes seconds to plan."""
+    return F.split(F.lit(" ".join(map(str, numbers))), " ").cast("array<long>")
+
+
 def crc32c_of(raw: Column) -> Column:
-    """CRC-32C of a binary column, as a long."""
-    table = F.array(*[F.lit(x).cast("long") for x in _TABLE])
-    step = lambda c, b: F.shiftright(c, 8).bitwiseXOR(F.element_at(table, c.bitwiseXOR(b).bitwiseAND(F.lit(255)).cast("int") + 1))
-    return F.aggregate(_bytes(raw), F.lit(_LOW).cast("long"), step, lambda c: c.bitwiseXOR(F.lit(_LOW)))
+    """CRC-32C of a binary column, as a long; null counts as empty. Zeros before the first byte fill up the first word."""
+    raw = F.coalesce(raw, F.lit(b""))
+    n = F.octet_length(raw)
+    fill = F.pmod(-n, F.lit(_TAKEN))
+    tables = [_longs(t) for t in reversed(_AHEAD)]
+
+    def step(c: Column, word: Column) -> Column:
+        read = [F.element_at(t, (F.shiftright(c.bitwiseXOR(word), 8 * k).bitwiseAND(F.lit(255)) + 1).cast("int")) for k, t in enumerate(tables)]
+        return reduce(Column.bitwiseXOR, read)
+
+    words = _words(F.lpad(raw, n + fill, F.lit(b"\0")), _TAKEN)
+    return F.aggregate(words, F.element_at(_longs(_START), fill + 1), step, lambda c: c.bitwiseXOR(F.lit(_LOW)))
 
 
 #: Added to a checksum that is stored beside what it covers.
@@ -170,16 +218,12 @@ def hash32(raw: Column, seed: int = 0) -> Column:
     """The 32-bit multiplicative hash of a binary column (as a long): little-endian words are added and mixed; of the rest
     each byte counts as signed."""
     low = lambda x: x.bitwiseAND(F.lit(_LOW))
-    # 32 by 32 bits in two halves, so that no product exceeds 63 bits
-    times = lambda x: low(x.bitwiseAND(F.lit(0xFFFF)) * MULTIPLIER + F.shiftleft((F.shiftright(x, 16) * MULTIPLIER).bitwiseAND(F.lit(0xFFFF)), 16))
+    # less 2^32 the multiplier is under 30 bits, so that no product exceeds 63 bits
+    times = lambda x: low(x * (MULTIPLIER - 2**32))
     mixed = lambda x, by: x.bitwiseXOR(F.shiftright(x, by))
-    every, size = _bytes(raw), F.octet_length(raw)
-    words = F.floor(size / 4).cast("int")
-    at = F.when(words > 0, F.sequence(F.lit(0), words - 1)).otherwise(F.array().cast("array<int>"))
-    word = lambda i: F.aggregate(F.reverse(F.slice(every, i * 4 + 1, F.lit(4))), F.lit(0).cast("long"), lambda a, b: a * 256 + b)
+    size = F.octet_length(raw)
     start = low(F.lit(seed).cast("long").bitwiseXOR(times(size.cast("long"))))
-    body = F.aggregate(F.transform(at, word), start, lambda h, w: mixed(times(low(h + w)), 16))
-    rest = F.slice(every, words * 4 + 1, F.lit(3))
-    signed = F.transform(rest, lambda b, i: F.when(b > 127, b - 256).otherwise(b) * F.element_at(F.array(F.lit(1), F.lit(256), F.lit(65536)), i + 1))
-    added = F.aggregate(signed, body, lambda h, x: h + x)
-    return F.when(size % 4 == 0, body).otherwise(mixed(times(low(added)), 24))
+    body = F.aggregate(_words(raw, 4), start, lambda h, w: mixed(times(h + w), 16))
+    rest = _words(F.rpad(F.substring(raw, size - size % 4 + 1, F.lit(3)), F.lit(4), F.lit(b"\0")), 4)
+    signed = lambda r: r - r.bitwiseAND(F.lit(0x808080)) * 2
+    return F.aggregate(rest, body, lambda h, r: h + signed(r), lambda h: F.when(size % 4 == 0, h).otherwise(mixed(times(low(h)), 24)))
